@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: each stage's rows are written as Parquet and reread as the next one's."""
+"""A corpus pipeline over ``documents``: each stage's rows are written as Parquet and reread as the next one's.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept; ``sf_dir`` is where labels and benchmark
+are. All but the last return the columns of ``docs``; the last adds ``copies``.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textweft.llm.decontaminate import keep_clean
+from textweft.llm.mixing import mix_rows
 from textweft.llm.near_dedup import keep_first
+from textweft.llm.quality import keep_good
+from textweft.llm.secrets import redact
 from textweft.plans.tables import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labels of those that reach this stage."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return keep_first(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; every document stays."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen to the sources' target weights, with the number of epochs that each is in."""
+    return mix_rows(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+]
 
-#: Models and approximate search can't be written in SQL; the tests hold the stages against brute force.
+#: Trained models, similarity search and compression can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

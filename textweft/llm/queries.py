@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textweft.llm import mixing, quality_rules
+from textweft.llm import line_dedup, mixing, quality_rules
 from textweft.llm.decontaminate import best_windows, contaminated
 from textweft.llm.html_text import extract
 from textweft.llm.near_dedup import near_duplicates
@@ -40,6 +40,10 @@ def op4_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op6_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_attention_mil": op2_attention_mil,
     "op3_hierarchical_budget": op3_hierarchical_budget,
     "op4_subword_softmax": op4_subword_softmax,
+    "op5_line_hashing": op5_line_hashing,
     "op6_threshold_table": op6_threshold_table,
     "op7_tag_path_ratio": op7_tag_path_ratio,
     "op8_dictionary_warc": op8_dictionary_warc,
@@ -70,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_hierarchical_budget": mixing.oracle_sql(),
+    "op5_line_hashing": line_dedup.oracle_sql(),
     "op6_threshold_table": quality_rules.oracle_sql(),
 }

@@ -11,11 +11,12 @@ with a probability equal to their similarity.
 
 *Candidates.* Texts of equal word sequences are one representative. Representatives that agree in all rows of a band meet.
 
-*Verification.* No group is expanded into pairs. In each band group every member is verified against one hub; linked members
-become one class. A second hub is tried for what is left between classes, and last come all pairs of a group whose classes
-still differ, unless distance to the hub rules them out: ``1 - similarity`` is a metric, so
-``|d(x, hub) - d(y, hub)| > 1 - threshold`` proves that x and y aren't linked. So the classes are the connected components of all
-candidate pairs whose exact similarity reaches the threshold.
+*Verification.* No group is expanded into pairs. In each band group every member is verified against one hub, the member that
+meets most others over all its bands; linked members become one class. What is left are members of a group whose classes differ. Of them
+a pair is verified unless one of two bounds proves that it can't reach the threshold. ``1 - similarity`` is a metric, so
+``|d(x, hub) - d(y, hub)| <= 1 - threshold`` must hold. And every bit that a bitmap of x's shingles has and y's has not stands for a
+shingle that only x has; such shingles' share of x's weight is at most ``1 - similarity``, and among sets without repeats they bound
+plain Jaccard. So the classes are the connected components of all candidate pairs whose exact similarity reaches the threshold.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from textweft.plans.tables import written
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
+#: Bits of a text's bitmap; and at most so many as a power of two for the filter of ids, 16 MB.
+BITMAP, FILTER_BITS = 2048, 27
 
 
 def prob_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int, registers: int) -> np.ndarray:
@@ -134,8 +137,50 @@ def _sets(k: int):
                 packed = _pack(e)
                 el = [packed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 # without repeats the weights are all one, and none are sent
+                n = np.bincount(row, minlength=len(texts))
+                total = np.bincount(row, count, len(texts)).astype(np.int64)
                 wt = [b"" if (c := count[a:b]).max(initial=1) == 1 else c.astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)), pa.array(el, pa.binary()), pa.array(wt, pa.binary())], ["id", "el", "wt"])
+                offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITMAP // 64))
+                bits = pa.ListArray.from_arrays(offsets, pa.array(_bitmaps(e, row, len(texts)).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)), pa.array(el, pa.binary()), pa.array(wt, pa.binary()), pa.array(n), pa.array(total), bits], ["id", "el", "wt", "n", "total", "bits"])
+    return run
+
+
+def _bitmaps(e: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """A bit for each shingle, as signed words ``(n_rows, BITMAP // 64)``."""
+    bits = np.zeros((n_rows, BITMAP), np.uint8)
+    bits[row, (tk.mix(e, 9) % tk.U(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
+def _may_reach(threshold: float) -> str:
+    """SQL for pairs x, y whose bitmaps don't prove a similarity below the threshold."""
+    words = range(BITMAP // 64)
+    only_x = " + ".join(f"bit_count(x.bits[{i}] & ~y.bits[{i}])" for i in words)
+    only_y = " + ".join(f"bit_count(y.bits[{i}] & ~x.bits[{i}])" for i in words)
+    least = threshold - 1e-9
+    share = f"x.total - ({only_x}) >= {least} * x.total and y.total - ({only_y}) >= {least} * y.total"
+    common = f"least(x.n - ({only_x}), y.n - ({only_y}))"
+    return f"{share} and (x.n < x.total or y.n < y.total or {1 + least} * {common} >= {least} * (x.n + y.n))"
+
+
+def _id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit per id by its hash; the size follows the number of ids and has a bound, past which it only lets more rows by."""
+    n = ids.count()
+    width = max(16, min(FILTER_BITS, int(16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << width))
+    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {1 << width}L) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros((1 << width) // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return width, np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool) if width < 20 else table.view(np.uint8)
+
+
+def _passing(width: int, table: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch["place"].to_numpy(zero_copy_only=False)
+            hit = table[place] if table.dtype == bool else (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit))
     return run
 
 
@@ -176,60 +221,46 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     grouped = signed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands"))
     reps = written(grouped, "reps")
     # a doc_id has several representatives if it has several texts: they share a node, the doc_id
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = written(members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.min_by("rep", F.xxhash64("rep", F.lit(1))).alias("hub2")).filter("hub <> top").drop("top"), "hubs")
-    met = written(members.join(hubs, "band").distinct(), "met")
-    involved = met.select("rep").distinct()
-    # of a text the representative's row is enough, and a doc_id with several texts keeps all of them
-    sets = written(_one_set(own.join(involved, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(k), f"id {id_type}, el binary, wt binary")), "sets")
+    members = reps.select("rep", F.explode("bands").alias("band")).distinct()
+    groups = written(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    met = written(members.join(groups, "band"), "met")
+    popular = written(met.groupBy("rep").agg(F.sum("n").alias("met")), "popular")
+    hubs = written(met.join(popular, "rep").groupBy("band").agg(F.max(F.struct("met", "rep"))["rep"].alias("hub")), "hubs")
+    met = written(met.join(hubs, "band").select("band", "rep", "hub"), "met-hub")
+    # the filter keeps most texts out of the join's exchange
+    width, table = _id_filter(popular)
+    some = own.filter("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << width))).mapInArrow(_passing(width, table), own.schema)
+    some = some.join(popular, F.col("doc_id") == F.col("rep"), "left_semi")
+    # repeated rows of a document have equal sets, and a doc_id with several texts keeps all of them
+    sets = written(some.mapInArrow(_sets(k), f"id {id_type}, el binary, wt binary, n long, total long, bits array<long>").dropDuplicates(["id", "el", "wt"]), "sets")
 
     def ordered(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
     good = F.col("similarity") >= threshold
     first = _verified(ordered(met, "rep", "hub"), sets)
-    done = first
-    # several texts under one doc_id, and copies of a text: links without verification
-    same = signed.filter("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2").join(reps.filter("rep <> last").select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-    same = written(same, "same")
-    classes = components(done.filter(good))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.join(classes.select(F.col("node").alias("rep"), F.col("class_id").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-
-    def open_groups() -> DataFrame:
-        at = written(placed(met), "placed")
-        open_ = at.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-        return written(at.join(written(open_, "open"), "band"), "left")
-
-    left = open_groups()
+    # copies of a text, and several texts under one doc_id, are links without verification
+    keyed = signed.filter("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2")
+    same = written(keyed.join(written(reps.filter("rep <> last").select("k1", "k2", "rep"), "copied"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct(), "same")
+    linked = first.filter(good).select("a", "b")
+    classes = components(linked)
+    at = written(met.join(classes, F.col("rep") == F.col("node"), "left").select("band", "rep", "hub", F.coalesce("class_id", "rep").alias("c")), "placed")
+    open_ = written(at.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band"), "open")
+    near = first.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "similarity").union(first.select("b", "a", "similarity")).groupBy("rep", "hub").agg(F.max("similarity").alias("similarity"))
+    left = at.join(open_, "band").join(near, ["rep", "hub"], "left")
+    distance = F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(1 - F.coalesce("similarity", F.lit(0.0)))
+    left = left.join(sets.select(F.col("id").alias("rep"), "n", "total", "bits"), "rep").select("band", "rep", "c", distance.alias("d"), "n", "total", "bits")
+    left = written(left, "left")
     if not left.isEmpty():
-        hub_class = placed(left.select(F.col("hub2").alias("rep")).distinct()).select(F.col("rep").alias("hub2"), F.col("c").alias("hc"))
-        second = ordered(left.join(written(hub_class, "hub-class"), "hub2").filter("c <> hc"), "rep", "hub2").join(done, ["a", "b"], "left_anti")
-        done = written(done.union(_verified(second, sets)), "done")
-        classes = components(done.filter(good))
-        left = open_groups()
-        if not left.isEmpty():
-            near = first.select("a", "b", "similarity")
-            near = near.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "similarity").union(near.select("b", "a", "similarity"))
-            dist = written(left.join(near, ["rep", "hub"], "left").select("band", "rep", "c", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(1 - F.coalesce("similarity", F.lit(0.0))).alias("d")), "distances")
-            x, y = dist.alias("x"), dist.alias("y")
-            slack = 1 - threshold + 1e-9
-            rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & (F.abs(F.col("x.d") - F.col("y.d")) <= slack))
-            rest = ordered(rest.select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q")), "p", "q").join(done, ["a", "b"], "left_anti")
-            done = written(done.union(_verified(rest, sets)), "done")
-    linked = done.filter(good).select("a", "b")
+        rest = left.alias("x").join(left.alias("y"), F.expr(f"x.band = y.band and x.c < y.c and abs(x.d - y.d) <= {1 - threshold + 1e-9} and {_may_reach(threshold)}"))
+        rest = ordered(rest.select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q")), "p", "q").join(first, ["a", "b"], "left_anti")
+        linked = written(linked.union(_verified(rest, sets).filter(good).select("a", "b")), "linked")
     classes = components(linked.union(same))
     ends = linked.select("a").union(linked.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     of = written(classes.join(ends, F.col("node") == F.col("a"), "left").select("node", "class_id", "n_links"), "classes")
     return signed.select("doc_id").join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _one_set(sets: DataFrame) -> DataFrame:
-    """One row per id and set: repeated rows of a document have equal sets."""
-    return sets.distinct()
-
-
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document with the smallest doc_id, and of its rows the first by text and
     the other columns. Rows without a doc_id stay."""

@@ -1,15 +1,334 @@
-"""The queries of the reference's operators over the driver's tables, with the SQL that gives the same rows."""
+"""The queries of the reference's operators over the driver's tables, with the SQL that gives the same rows.
+
+Every query runs over its whole tables and whole texts. Column names are the same on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textweft import languages, oracle
+from textweft.api import analyze
+from textweft.config import FragmentOrder, PairOrder
+from textweft.functions.hashing import token_hash_column
+from textweft.operators import ignore, matching, ordering
+from textweft.operators.winnowing import fingerprints, fingerprints_sql
+from textweft.plans.tables import written
+from textweft.sources.sinks import summary_column
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+K, W = 23, 17
+#: Files that may share a fingerprint in comparisons of the corpus, and the shortest run that counts there.
+CAP, RUN = 10, 1
+DOCUMENTS = "SELECT doc_id AS file_id, text AS content FROM documents"
+BENCHMARK = "SELECT item_id AS file_id, text AS content FROM benchmark"
+TALKS = "SELECT conv_id AS file_id, string_agg(text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id"
+PAIR = ["left_id", "right_id", "similarity", "longest_fragment", "overlap_left", "overlap_right", "total_left", "total_right", "total_overlap"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    return _table(spark, sf_dir, name).select(F.col(key).alias("file_id"), F.col("text").alias("content"))
+
+
+def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select(F.col("conv_id").alias("file_id"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("content"))
+
+
+def _prints(files: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """Fingerprints as a written table, since a self-join and two aggregates read them."""
+    return written(fingerprints(files, k, w), "prints")
+
+
+def _compared(files: DataFrame, k: int = K, w: int = W, cap: int | None = CAP, run: int = RUN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints, those that count, and matches."""
+    prints = _prints(files, k, w)
+    live = written(ignore.classified(prints, cap)[0], "live") if cap is not None else prints
+    return prints, live, written(matching.matches(live, run), "matches")
+
+
+def _pairs(files: DataFrame, all_pairs: bool = False, **options) -> DataFrame:
+    _, live, found = _compared(files, **options)
+    return matching.metrics(files, live, found, all_pairs).select(PAIR)
+
+
+def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters and lines of every document that the character tokenizer gives tokens for."""
+    prints = fingerprints(_files(spark, sf_dir), 1, 0)
+    return prints.groupBy("file_id").agg(F.count("*").alias("tokens"), F.countDistinct("start_row").alias("lines"), F.max("end_col").cast("bigint").alias("widest"))
+
+
+def token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct character of the corpus with its hash."""
+    chars = _files(spark, sf_dir).select(F.explode(F.array_distinct(F.split("content", ""))).alias("token")).filter("token <> ''").distinct()
+    return chars.select("token", token_hash_column(F.col("token")).alias("h"))
+
+
+def kgram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and sum of all k-gram hashes of every document."""
+    return fingerprints(_files(spark, sf_dir), K, 0).groupBy("file_id").agg(F.count("*").alias("kgrams"), F.sum("h").alias("sum_h"))
+
+
+def winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_files(spark, sf_dir), K, W).select("file_id", F.col("idx").cast("bigint"), F.col("p").cast("bigint"), "h")
+
+
+def winnow_window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator in window functions, over the benchmark's items."""
+    chars = _files(spark, sf_dir, "benchmark", "item_id").select("file_id", F.posexplode(F.split("content", "\n")).alias("row", "line"))
+    chars = chars.select("file_id", "row", F.posexplode(F.split("line", "")).alias("i", "c")).filter("c <> ''")
+    order = Window.partitionBy("file_id").orderBy("row", "i")
+    tokens = chars.select("file_id", (F.row_number().over(order) - 1).alias("pos"), token_hash_column(F.col("c")).alias("th"))
+    return fingerprints_sql(tokens, K, W).select("file_id", F.col("idx").cast("bigint"), F.col("p").cast("bigint"), "h")
+
+
+def kgram_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_files(spark, sf_dir), K, W).select("file_id", *(F.col(c).cast("bigint") for c in ("idx", "start_row", "start_col", "end_row", "end_col")))
+
+
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ignore.document_frequency(fingerprints(_files(spark, sf_dir), K, W))
+
+
+def df_cap_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document that more than CAP documents have."""
+    _, ignored = ignore.classified(_prints(_files(spark, sf_dir)), CAP)
+    return ignored.select("file_id", F.col("idx").cast("bigint"), "h")
+
+
+def template_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document that also occur in a benchmark item."""
+    template = fingerprints(_files(spark, sf_dir, "benchmark", "item_id"), K, W)
+    _, ignored = ignore.classified(_prints(_files(spark, sf_dir)), None, template)
+    return ignored.select("file_id", F.col("idx").cast("bigint"), "h")
+
+
+def ignored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = fingerprints(_files(spark, sf_dir, "benchmark", "item_id"), K, W)
+    _, ignored = ignore.classified(_prints(_files(spark, sf_dir)), CAP, template)
+    return ignore.ranges_of(ignored).select("file_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+
+
+def range_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges turned back to positions: what was ignored."""
+    return ignore.positions_of(ignored_ranges(spark, sf_dir)).select("file_id", F.col("idx").cast("bigint"))
+
+
+def maximal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _compared(_files(spark, sf_dir))[2]
+    return found.select("left_id", "right_id", *(F.col(c).cast("bigint") for c in ("left_start", "right_start", "length")))
+
+
+def matches_no_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.without_contained(_compared(_files(spark, sf_dir))[2])
+    return found.select("left_id", "right_id", *(F.col(c).cast("bigint") for c in ("left_start", "right_start", "length")))
+
+
+def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_files(spark, sf_dir))
+
+
+def pair_metrics_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of benchmark items, with or without a match, and no cap."""
+    return _pairs(_files(spark, sf_dir, "benchmark", "item_id"), all_pairs=True, cap=None)
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_talks(spark, sf_dir), k=10, w=5)
+
+
+def order_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sequences of parts: two parts in a row that another order has, too."""
+    lines = _table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    sequences = lines.select(F.col("l_orderkey").alias("file_id"), (F.row_number().over(order) - 1).alias("idx"), F.col("l_partkey").cast("bigint").alias("h"))
+    return analyze(written(sequences, "orders"), min_match_length=2, all_pairs=False).pairs.select(PAIR)
+
+
+def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sequences of events, each by its type and minute of the day: what two users share in the same order."""
+    events = _table(spark, sf_dir, "events").filter("user_id is not null and ts is not null and event_type is not null")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    symbol = F.crc32("event_type").cast("bigint") * 1440 + F.hour("ts") * 60 + F.minute("ts")
+    sequences = events.select(F.col("user_id").alias("file_id"), (F.row_number().over(order) - 1).alias("idx"), symbol.alias("h"))
+    return analyze(written(sequences, "users"), min_match_length=1, all_pairs=False).pairs.select(PAIR)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, order: PairOrder) -> DataFrame:
+    files = _files(spark, sf_dir)
+    pairs = ordering.ranked_pairs(ordering.with_pair_id(_pairs(files), files.count()), order)
+    return pairs.select("rank", "id", *PAIR)
+
+
+def pairs_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, PairOrder.SIMILARITY)
+
+
+def pairs_by_total_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, PairOrder.TOTAL_OVERLAP)
+
+
+def pairs_by_longest_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, PairOrder.LONGEST_FRAGMENT)
+
+
+def pairs_by_file_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, PairOrder.FILE_ID)
+
+
+REGIONS = [f"{s}_{n}" for s in ("left", "right") for n in ("start_row", "start_col", "end_row", "end_col")]
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of all matches that lie in no other, with their place in the pair's order by length."""
+    prints, _, found = _compared(_files(spark, sf_dir))
+    rows = matching.fragments(matching.without_contained(found), prints)
+    order = Window.partitionBy("left_id", "right_id").orderBy(F.desc("fingerprint_count"), "left_start", "right_start")
+    return rows.select("left_id", "right_id", F.row_number().over(order).cast("bigint").alias("place"), *(F.col(c).cast("bigint") for c in REGIONS), F.col("fingerprint_count").cast("bigint"))
+
+
+def fragment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments in the engine's ascending order."""
+    prints, _, found = _compared(_files(spark, sf_dir, "benchmark", "item_id"), k=5, w=4, cap=None)
+    rows = ordering.sort_fragments(matching.fragments(matching.without_contained(found), prints), FragmentOrder.KGRAMS_ASCENDING)
+    return rows.select("left_id", "right_id", *(F.col(c).cast("bigint") for c in REGIONS), F.col("fingerprint_count").cast("bigint"))
+
+
+def replay_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs again from stored fingerprints and ignored ranges: the same metrics."""
+    files = _files(spark, sf_dir)
+    prints = _prints(files)
+    _, ignored = ignore.classified(prints, CAP)
+    ranges = written(ignore.ranges_of(ignored), "ranges")
+    return analyze(prints, ranges, RUN, ids=files.select("file_id"), all_pairs=False, check=False).pairs.select(PAIR)
+
+
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(_files(spark, sf_dir)).withColumn("left_path", F.concat(F.lit("doc"), "left_id")).withColumn("right_path", F.concat(F.lit("doc"), "right_id"))
+    return pairs.select("left_id", "right_id", summary_column().alias("line"))
+
+
+def language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per language of a listing: each document's source names its file by language."""
+    docs = _table(spark, sf_dir, "documents")
+    ending = F.expr("case when lang = 'en' then 'h' when lang = 'de' then 'py' when lang = 'fr' then 'c' else 'txt' end")
+    return languages.language_counts(docs.select(F.concat_ws("", F.lit("a.b/"), "source", F.lit("."), ending).alias("path")))
+
+
+def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_files(spark, sf_dir, "benchmark", "item_id"), k=10, cap=None)
+
+
+def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_files(spark, sf_dir), w=5)
+
+
+def min_length_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_files(spark, sf_dir), run=10)
+
+
+def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages compared by their element trees; no SQL, tests hold it against a plain matcher."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("content"))
+    prints = written(fingerprints(pages, 12, 8, "html"), "trees")
+    live = written(ignore.classified(prints, 20)[0], "live")
+    return matching.metrics(pages, live, written(matching.matches(live, 2), "matches")).select(PAIR)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Similarity of all pairs of documents that share passages, best first."""
+    return ordering.sort_pairs(pair_metrics(spark, sf_dir), PairOrder.SIMILARITY)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        char_tokens, token_hash, kgram_hash, winnow_fingerprints, winnow_window_functions, kgram_regions, doc_frequency, df_cap_ignored, template_ignored, ignored_ranges,
+        range_positions, maximal_matches, matches_no_contained, pair_metrics, pair_metrics_full, conversation_pairs, order_sequences, user_sequences, pairs_by_similarity,
+        pairs_by_total_overlap, pairs_by_longest_fragment, pairs_by_file_id, fragments, fragment_order, replay_pairs, summary_lines, language_detection, k10, w5,
+        min_length_10, page_trees,
+    )
+}
+
+
+def _with(*parts: str, select: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+_FP = oracle.fingerprinted(DOCUMENTS, K, W)
+_COLUMNS = ", ".join(PAIR)
+
+
+def _compared_sql(files: str = DOCUMENTS, k: int = K, w: int = W, cap: int | None = CAP, run: int = RUN) -> list[str]:
+    return [oracle.fingerprinted(files, k, w), oracle.capped(cap), oracle.matches(run)]
+
+
+def _pairs_sql(files: str = DOCUMENTS, all_pairs: bool = False, **options) -> str:
+    return _with(*_compared_sql(files, **options), oracle.metrics(files, all_pairs), select=f"SELECT {_COLUMNS} FROM pm")
+
+
+def _ranked_sql(key: str) -> str:
+    rank = f"row_number() OVER (ORDER BY {key}left_id, right_id)"
+    n = "(SELECT count(*) FROM documents)"
+    return _with(*_compared_sql(), oracle.metrics(DOCUMENTS), select=f"SELECT {rank} AS rank, (left_id * (2 * {n} - left_id - 1) // 2 + right_id - left_id - 1)::BIGINT AS id, {_COLUMNS} FROM pm")
+
+
+_TEMPLATE = oracle.fingerprinted(BENCHMARK, K, W, "bp")
+_CONTAINED = """mc AS (SELECT * FROM mt a WHERE NOT EXISTS (SELECT 1 FROM mt b WHERE a.left_id = b.left_id AND a.right_id = b.right_id AND b.left_start <= a.left_start AND a.left_start + a.length <= b.left_start + b.length
+  AND b.right_start <= a.right_start AND a.right_start + a.length <= b.right_start + b.length AND (a.left_start <> b.left_start OR a.right_start <> b.right_start)))"""
+_IGNORED = f"ig AS (SELECT * FROM fp WHERE h IN (SELECT h FROM bp) OR h IN (SELECT h FROM fp GROUP BY h HAVING count(DISTINCT file_id) > {CAP}))"
+_RANGES = "rg AS (SELECT file_id, min(idx)::BIGINT AS start, (max(idx) + 1)::BIGINT AS \"end\" FROM (SELECT file_id, idx, idx - row_number() OVER (PARTITION BY file_id ORDER BY idx) AS island FROM ig) GROUP BY file_id, island)"
+_FRAGMENTS = """fr AS (SELECT m.left_id, m.right_id, m.left_start, m.right_start, m.length AS fingerprint_count, a.start_row AS left_start_row, a.start_col AS left_start_col, b.end_row AS left_end_row, b.end_col AS left_end_col,
+  c.start_row AS right_start_row, c.start_col AS right_start_col, d.end_row AS right_end_row, d.end_col AS right_end_col FROM mc m
+  JOIN fp a ON a.file_id = m.left_id AND a.idx = m.left_start JOIN fp b ON b.file_id = m.left_id AND b.idx = m.left_start + m.length - 1
+  JOIN fp c ON c.file_id = m.right_id AND c.idx = m.right_start JOIN fp d ON d.file_id = m.right_id AND d.idx = m.right_start + m.length - 1)"""
+_REGION_COLUMNS = ", ".join(REGIONS)
+_SUMMARY = "printf('doc%d - doc%d (sim: %.2f%%, longest: %d, left: %d/%d, right: %d/%d)', left_id, right_id, similarity * 100, longest_fragment, overlap_left, total_left, overlap_right, total_right)"
+
+
+def _sequence_sql(rows: str, run: int) -> str:
+    return _with(f"live AS ({rows})", oracle.matches(run), oracle.metrics("SELECT DISTINCT file_id FROM live"), select=f"SELECT {_COLUMNS} FROM pm")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "char_tokens": _with(oracle.tokens(DOCUMENTS), select="SELECT file_id, count(*)::BIGINT AS tokens, count(DISTINCT row)::BIGINT AS lines, max(col + size)::BIGINT AS widest FROM tok GROUP BY file_id"),
+    "token_hash": _with(oracle.tokens("SELECT 1 AS file_id, text AS content FROM documents"), select="SELECT c AS token, th::BIGINT AS h FROM tok_d UNION ALL SELECT chr(10), 7472870 WHERE EXISTS (SELECT 1 FROM documents WHERE contains(text, chr(10)))"),
+    "kgram_hash": _with(oracle.tokens(DOCUMENTS), oracle.kgrams(K), select="SELECT file_id, count(*)::BIGINT AS kgrams, sum(h)::BIGINT AS sum_h FROM kg GROUP BY file_id"),
+    "winnow_fingerprints": _with(_FP, select="SELECT file_id, idx, p, h::BIGINT AS h FROM fp"),
+    "winnow_window_functions": _with(oracle.fingerprinted(BENCHMARK, K, W), select="SELECT file_id, idx, p, h::BIGINT AS h FROM fp"),
+    "kgram_regions": _with(_FP, select="SELECT file_id, idx, start_row, start_col, end_row, end_col FROM fp"),
+    "doc_frequency": _with(_FP, select="SELECT h::BIGINT AS h, count(DISTINCT file_id)::BIGINT AS files FROM fp GROUP BY h"),
+    "df_cap_ignored": _with(_FP, select=f"SELECT file_id, idx, h::BIGINT AS h FROM fp WHERE h IN (SELECT h FROM fp GROUP BY h HAVING count(DISTINCT file_id) > {CAP})"),
+    "template_ignored": _with(_FP, _TEMPLATE, select="SELECT file_id, idx, h::BIGINT AS h FROM fp WHERE h IN (SELECT h FROM bp)"),
+    "ignored_ranges": _with(_FP, _TEMPLATE, _IGNORED, _RANGES, select='SELECT file_id, start, "end" FROM rg'),
+    "range_positions": _with(_FP, _TEMPLATE, _IGNORED, select="SELECT file_id, idx FROM ig"),
+    "maximal_matches": _with(*_compared_sql(), select="SELECT left_id, right_id, left_start, right_start, length FROM mt"),
+    "matches_no_contained": _with(*_compared_sql(), _CONTAINED, select="SELECT left_id, right_id, left_start, right_start, length FROM mc"),
+    "pair_metrics": _pairs_sql(),
+    "pair_metrics_full": _pairs_sql(BENCHMARK, True, cap=None),
+    "conversation_pairs": _pairs_sql(TALKS, k=10, w=5),
+    "order_sequences": _sequence_sql("SELECT l_orderkey AS file_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::BIGINT AS idx, l_partkey AS h FROM lineitem", 2),
+    "pairs_by_similarity": _ranked_sql("similarity DESC, "),
+    "pairs_by_total_overlap": _ranked_sql("total_overlap DESC, "),
+    "pairs_by_longest_fragment": _ranked_sql("longest_fragment DESC, "),
+    "pairs_by_file_id": _ranked_sql(""),
+    "fragments": _with(*_compared_sql(), _CONTAINED, _FRAGMENTS, select=f"SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id, right_id ORDER BY fingerprint_count DESC, left_start, right_start) AS place, {_REGION_COLUMNS}, fingerprint_count FROM fr"),
+    "fragment_order": _with(*_compared_sql(BENCHMARK, 5, 4, None), _CONTAINED, _FRAGMENTS, select=f"SELECT left_id, right_id, {_REGION_COLUMNS}, fingerprint_count FROM fr"),
+    "replay_pairs": _pairs_sql(),
+    "summary_lines": _with(*_compared_sql(), oracle.metrics(DOCUMENTS), select=f"SELECT left_id, right_id, {_SUMMARY} AS line FROM pm"),
+    "language_detection": "SELECT language, count(*)::BIGINT AS files FROM (SELECT unnest(CASE WHEN lang = 'en' THEN ['C', 'Cpp'] WHEN lang = 'de' THEN ['Python'] WHEN lang = 'fr' THEN ['C'] ELSE ['Char'] END) AS language FROM documents) GROUP BY language",
+    "k10": _pairs_sql(BENCHMARK, k=10, cap=None),
+    "w5": _pairs_sql(w=5),
+    "min_length_10": _pairs_sql(run=10),
+}
+ORACLE_SQL["user_sequences"] = _sequence_sql(
+    "SELECT user_id AS file_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS idx, event_type || ' ' || strftime(ts, '%H:%M') AS h FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL", 1
+)

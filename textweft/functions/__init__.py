@@ -1 +1 @@
-"""Part of textweft."""
+"""Scalar functions: token and k-gram hashes."""

@@ -1 +1 @@
-"""Part of textweft."""
+"""Tokens, fingerprints, ignore rules, matches and metrics as DataFrame operators."""

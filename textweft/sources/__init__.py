@@ -1 +1 @@
-"""Part of textweft."""
+"""Inputs and outputs."""

@@ -33,7 +33,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # a run of hexadecimal digits is one match of the base pattern, so the length can be asked for at once
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth(?:orization|_key|_token)|bearer|signature|client[_-]?id|conn(?:ection)?[_-]?str(?:ing)?|ssh-(?:rsa|ed25519)|BEGIN [A-Z ]*PRIVATE KEY", re.I | re.A)
+_SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[ _-]?key|credential|private[ _-]?key|access[ _-]?key|auth(?:orization|_key|_token)|bearer|signature|client[ _-]?id|conn(?:ection)?[_-]?str(?:ing)?|ssh-(?:rsa|ed25519)|BEGIN [A-Z ]*PRIVATE KEY", re.I | re.A)
 _WORDS = ("pass", "secret", "token", "key", "credential", "auth", "bearer", "signature", "client", "conn", "ssh-")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 

@@ -21,7 +21,25 @@ def matches(live: DataFrame, min_length: int = 1) -> DataFrame:
     x, y = live.alias("x"), live.alias("y")
     hits = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.file_id") < F.col("y.file_id")))
     hits = hits.select(F.col("x.file_id").alias("left_id"), F.col("y.file_id").alias("right_id"), F.col("x.idx").alias("i"), (F.col("y.idx") - F.col("x.idx")).alias("diagonal"))
-    # the exchange by pair serves the islands, and every later aggregate by pair
+    return _runs(hits, min_length)
+
+
+def matches_with_stored(new: DataFrame, stored: DataFrame, min_length: int = 1) -> DataFrame:
+    """Matches of ``new`` sequences with each other and with ``stored`` ones; pairs of stored sequences aren't made again.
+
+    Ids of the two are different.
+    """
+    x, y = new.alias("x"), stored.alias("y")
+    less = F.col("x.file_id") < F.col("y.file_id")
+    side = lambda a, b: F.when(less, F.col(a)).otherwise(F.col(b))
+    across = x.join(y, F.col("x.h") == F.col("y.h")).select(
+        side("x.file_id", "y.file_id").alias("left_id"), side("y.file_id", "x.file_id").alias("right_id"), side("x.idx", "y.idx").alias("i"), (side("y.idx", "x.idx") - side("x.idx", "y.idx")).alias("diagonal")
+    )
+    return _runs(across, min_length).union(matches(new, min_length))
+
+
+def _runs(hits: DataFrame, min_length: int) -> DataFrame:
+    """Islands of consecutive hits on a diagonal; their window and aggregate share one exchange."""
     order = Window.partitionBy(*KEY, "diagonal").orderBy("i")
     islands = hits.withColumn("island", F.col("i") - F.row_number().over(order))
     runs = islands.groupBy(*KEY, "diagonal", "island").agg(F.min("i").alias("left_start"), F.count("*").cast("int").alias("length"))

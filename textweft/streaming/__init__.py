@@ -1 +1 @@
-"""Part of textweft."""
+"""Files that arrive over time, compared with those that are there."""

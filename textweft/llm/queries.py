@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textweft.llm import line_dedup, mixing, quality_rules
+from textweft.llm import line_dedup, mixing, quality_rules, warc
 from textweft.llm.decontaminate import best_windows, contaminated
 from textweft.llm.html_text import extract
 from textweft.llm.near_dedup import near_duplicates
 from textweft.llm.quality import quality_scores
 from textweft.llm.secrets import scan
 from textweft.llm.toxicity import toxicity_scores
-from textweft.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +52,7 @@ def op7_tag_path_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "pages"))
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op10_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +76,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_hierarchical_budget": mixing.oracle_sql(),
     "op5_line_hashing": line_dedup.oracle_sql(),
     "op6_threshold_table": quality_rules.oracle_sql(),
+    "op8_dictionary_warc": warc.oracle_sql(),
 }

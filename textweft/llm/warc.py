@@ -214,3 +214,14 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Archives ``pages`` in the session's shared folder and reads the archives back."""
     folder = new_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, **options), folder)
+
+
+def oracle_sql() -> str:
+    """The rows of ``round_trip`` in SQL for another engine, for tables of distinct page_ids."""
+    char = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v // {1 << shift}) % 32 + 1)::INT, 1)"
+    number = "list_transform(range(0, 8), lambda i: ('0x' || substr(sha1(h), (5 * i + 1)::INT, 5))::BIGINT)"
+    text = " || ".join(char(s) for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform({number}, lambda v: {text}), '') AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""

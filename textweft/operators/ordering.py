@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textweft.config import FragmentOrder, PairOrder
+from textweft.plans.tables import written
 
 _PAIR_KEY = {PairOrder.SIMILARITY: "similarity", PairOrder.TOTAL_OVERLAP: "total_overlap", PairOrder.LONGEST_FRAGMENT: "longest_fragment"}
 
@@ -31,7 +32,7 @@ def ranked_pairs(pairs: DataFrame, order: PairOrder) -> DataFrame:
     A global rank needs the order of all pairs: the range sort is distributed, and only counts of its partitions meet.
     """
     ordered = sort_pairs(pairs, order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
-    ordered = _materialised(ordered)
+    ordered = written(ordered, "ordered")
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     # the sequence number holds the partition in its high bits and the row's place in the low ones
@@ -39,12 +40,6 @@ def ranked_pairs(pairs: DataFrame, order: PairOrder) -> DataFrame:
     return ordered.join(before, "_part").withColumn("rank", place + F.col("_before") + 1).drop("_part", "_seq", "_before")
 
 
-def _materialised(df: DataFrame) -> DataFrame:
-    from textweft.plans.tables import written
-
-    return written(df, "ordered")
-
-
 def sort_fragments(fragments: DataFrame, order: FragmentOrder) -> DataFrame:
     key = {FragmentOrder.KGRAMS_ASCENDING: [F.asc("fingerprint_count")], FragmentOrder.KGRAMS_DESCENDING: [F.desc("fingerprint_count")], FragmentOrder.FILE_ORDER: []}[order]
     return fragments.orderBy("left_id", "right_id", *key, "left_start", "right_start")

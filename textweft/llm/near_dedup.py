@@ -128,9 +128,13 @@ def _parts(w: tk.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tk.weighted(*tk.shingles(w, k))
 
 
-def _sets(k: int):
+def _sets(k: int, table: np.ndarray):
+    """Sets of the rows whose ``place`` has a bit in ``table``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch["place"].to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for at, texts in tk.slices(batch["text"]):
                 e, row, count = _parts(tk.words(texts), k)
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -143,6 +147,7 @@ def _sets(k: int):
                 offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITMAP // 64))
                 bits = pa.ListArray.from_arrays(offsets, pa.array(_bitmaps(e, row, len(texts)).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)), pa.array(el, pa.binary()), pa.array(wt, pa.binary()), pa.array(n), pa.array(total), bits], ["id", "el", "wt", "n", "total", "bits"])
+
     return run
 
 
@@ -172,16 +177,7 @@ def _id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
     words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {1 << width}L) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros((1 << width) // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return width, np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool) if width < 20 else table.view(np.uint8)
-
-
-def _passing(width: int, table: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch["place"].to_numpy(zero_copy_only=False)
-            hit = table[place] if table.dtype == bool else (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(hit))
-    return run
+    return width, table.view(np.uint8)
 
 
 def _weights(wt: bytes, n: int) -> np.ndarray:
@@ -224,15 +220,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = reps.select("rep", F.explode("bands").alias("band")).distinct()
     groups = written(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
     met = written(members.join(groups, "band"), "met")
-    popular = written(met.groupBy("rep").agg(F.sum("n").alias("met")), "popular")
-    hubs = written(met.join(popular, "rep").groupBy("band").agg(F.max(F.struct("met", "rep"))["rep"].alias("hub")), "hubs")
+    popular = written(met.groupBy("rep").agg(F.sum("n").alias("met"), F.collect_set("band").alias("own")), "popular")
+    hubs = written(met.join(popular.drop("own"), "rep").groupBy("band").agg(F.max(F.struct("met", "rep"))["rep"].alias("hub")), "hubs")
     met = written(met.join(hubs, "band").select("band", "rep", "hub"), "met-hub")
-    # the filter keeps most texts out of the join's exchange
-    width, table = _id_filter(popular)
-    some = own.filter("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << width))).mapInArrow(_passing(width, table), own.schema)
-    some = some.join(popular, F.col("doc_id") == F.col("rep"), "left_semi")
+    # the filter keeps most sets from being made, and out of the join's exchange
+    ids = popular.select("rep")
+    width, table = _id_filter(ids)
+    some = own.filter("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << width)))
+    some = some.mapInArrow(_sets(k, table), f"id {id_type}, el binary, wt binary, n long, total long, bits array<long>").join(ids, F.col("id") == F.col("rep"), "left_semi")
     # repeated rows of a document have equal sets, and a doc_id with several texts keeps all of them
-    sets = written(some.mapInArrow(_sets(k), f"id {id_type}, el binary, wt binary, n long, total long, bits array<long>").dropDuplicates(["id", "el", "wt"]), "sets")
+    sets = written(some.dropDuplicates(["id", "el", "wt"]), "sets")
 
     def ordered(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -249,10 +246,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     near = first.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "similarity").union(first.select("b", "a", "similarity")).groupBy("rep", "hub").agg(F.max("similarity").alias("similarity"))
     left = at.join(open_, "band").join(near, ["rep", "hub"], "left")
     distance = F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(1 - F.coalesce("similarity", F.lit(0.0)))
-    left = left.join(sets.select(F.col("id").alias("rep"), "n", "total", "bits"), "rep").select("band", "rep", "c", distance.alias("d"), "n", "total", "bits")
+    left = left.join(sets.select(F.col("id").alias("rep"), "n", "total", "bits"), "rep").join(popular.select("rep", "own"), "rep").select("band", "rep", "c", distance.alias("d"), "n", "total", "bits", "own")
     left = written(left, "left")
     if not left.isEmpty():
-        rest = left.alias("x").join(left.alias("y"), F.expr(f"x.band = y.band and x.c < y.c and abs(x.d - y.d) <= {1 - threshold + 1e-9} and {_may_reach(threshold)}"))
+        # of the bands that a pair shares the smallest gives it
+        rest = left.alias("x").join(left.alias("y"), F.expr(f"x.band = y.band and x.c < y.c and abs(x.d - y.d) <= {1 - threshold + 1e-9} and {_may_reach(threshold)} and array_min(array_intersect(x.own, y.own)) = x.band"))
         rest = ordered(rest.select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q")), "p", "q").join(first, ["a", "b"], "left_anti")
         linked = written(linked.union(_verified(rest, sets).filter(good).select("a", "b")), "linked")
     classes = components(linked.union(same))

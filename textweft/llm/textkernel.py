@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 U = np.uint64
 SHINGLE = 5
 #: A slice has about so many bytes, so that its arrays stay in the processor's cache; one text is never cut.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Arrow batches between Spark and Python.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U)

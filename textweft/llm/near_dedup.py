@@ -262,14 +262,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document with the smallest doc_id, and of its rows the first by text and
     the other columns. Rows without a doc_id stay."""
-    classes = near_duplicates(docs, **options)
-    stay = written(classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
-    again = stay.filter("n > 1").select("doc_id")
+    classes = written(near_duplicates(docs, **options).select("doc_id", "class_id"), "classes")
+    # the ids that go are few, and rows of all others needn't move for them
+    gone = written(classes.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
     if not again.isEmpty():
         columns = docs.columns
         repeated = docs.join(again, "doc_id", "left_semi")
         first = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in columns if c not in ("doc_id", "text")))).alias("r"))
         kept = kept.join(again, "doc_id", "left_anti").unionByName(first.select("doc_id", "r.*").select(columns))
-    nameless = docs.filter("doc_id is null")
-    return kept.select(docs.columns).unionByName(nameless)
+    return kept.select(docs.columns)

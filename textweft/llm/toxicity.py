@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textweft.llm import labelled
 from textweft.llm import textkernel as tk
+from textweft.plans.tables import written
 
 #: The score from which a document counts as toxic.
 THRESHOLD = 0.3
@@ -189,19 +191,26 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_pairs: int = TRAIN_PAIRS) -> Model:
-    """Learns from at most ``train_docs`` labelled documents that aren't held out, as far as ``train_pairs`` reaches; whole texts."""
+    """Learns from at most ``train_docs`` labelled documents that aren't held out, as far as ``train_pairs`` reaches; whole texts.
+
+    Where that is short of all of them, the first in a random but fixed order count.
+    """
     tk.small_batches(docs.sparkSession)
     few = labelled.sample(docs, labels, "toxic", train_docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found, left = [], train_pairs
-    for r in few.mapInArrow(_training, f"doc_id {id_type}, label int, id binary, share binary").toLocalIterator():
-        row = (np.frombuffer(r["id"], np.int32), np.frombuffer(r["share"], np.float32))
-        left -= len(row[0])
-        if left < 0:
+    made = few.mapInArrow(_training, f"doc_id {id_type}, label int, id binary, share binary")
+    # a scan of all documents finds few rows: in a few files they are read at once
+    table = written(made.withColumn("place", F.xxhash64("doc_id")).repartition(16), "training")
+    sizes = table.groupBy("place").agg((F.sum(F.octet_length("id")) / 4).alias("n")).orderBy("place").collect()
+    used, last = 0, None
+    for r in sizes:
+        used += r["n"]
+        if used > train_pairs:
             break
-        found.append((r["doc_id"], r["label"], row))
-    found.sort(key=lambda x: (x[0], x[2][0].tobytes()))
-    return fit_pairs([x[2] for x in found], np.array([x[1] for x in found], np.float32))
+        last = r["place"]
+    rows = table.filter(F.col("place") <= last).collect() if last is not None else []
+    rows.sort(key=lambda r: (r["place"], r["doc_id"], r["id"]))
+    return fit_pairs([(np.frombuffer(r["id"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -34,6 +34,8 @@ MAGIC = 0x184D2A5D
 #: Bytes of records after which an archive is closed, of its dictionary, and of records that train it.
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 32 << 20, 32 << 10, 2 << 20
 LEVEL = 3
+#: Tasks that read archives at most; each reads its archives one after another.
+READ_TASKS = 20_000
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -197,7 +199,9 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                     if held:
                         yield _batch(held, with_payload)
 
-    return archives.select("file").distinct().mapInArrow(run, schema)
+    files = archives.select("file").distinct()
+    # by size the few names would end in one task
+    return files.repartition(max(1, min(files.count(), READ_TASKS))).mapInArrow(run, schema)
 
 
 def _batch(records: list[Record], with_payload: bool) -> pa.RecordBatch:

@@ -208,9 +208,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
         if used > train_pairs:
             break
         last = r["place"]
-    rows = table.filter(F.col("place") <= last).collect() if last is not None else []
-    rows.sort(key=lambda r: (r["place"], r["doc_id"], r["id"]))
-    return fit_pairs([(np.frombuffer(r["id"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], np.array([r["label"] for r in rows], np.float32))
+    # by partition, of which there are 16 at most, so the JVM holds one at a time
+    rows = table.filter(F.col("place") <= last).toLocalIterator() if last is not None else []
+    found = [(r["place"], r["doc_id"], bytes(r["id"]), r["label"], np.frombuffer(r["share"], np.float32)) for r in rows]
+    found.sort(key=lambda x: x[:3])
+    return fit_pairs([(np.frombuffer(x[2], np.int32), x[4]) for x in found], np.array([x[3] for x in found], np.float32))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ from textweft.llm import textkernel as tk
 SHARE, HOLD = 0.25, 0.9
 KERNEL = np.array([0.25, 0.5, 0.25])
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -161,10 +161,12 @@ def main_text(source: str | None) -> str:
     real = [(e, entities.unescape(t), b) for e, t, b in kept if t.strip()]
     if not real:
         return ""
-    paths: dict[int, tuple[str, ...]] = {0: ()}
+    # a path is the number of its parent's path and a tag
+    paths, known, in_link = [0] * n, {}, [False] * n
     for i in range(1, n):
-        paths[i] = (*paths[page.parent[i]], page.tag[i])
-    sums: dict[tuple[str, ...], list[float]] = {}
+        paths[i] = known.setdefault((paths[page.parent[i]], page.tag[i]), len(known) + 1)
+        in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
+    sums: dict[int, list[float]] = {}
     for e, t, _ in real:
         s = sums.setdefault(paths[e], [0, 0, 0])
         s[0] += len(t.strip())
@@ -173,7 +175,7 @@ def main_text(source: str | None) -> str:
     length = _smooth(np.array([sums[paths[e]][0] / sums[paths[e]][2] for e, _, _ in real]))
     marks = _smooth(np.array([sums[paths[e]][1] / sums[paths[e]][2] for e, _, _ in real]))
     fused = length * (1 + marks)
-    per_path: dict[tuple[str, ...], list[float]] = {}
+    per_path: dict[int, list[float]] = {}
     for (e, _, _), f in zip(real, fused, strict=True):
         per_path.setdefault(paths[e], []).append(f)
     limit = SHARE * float(fused.mean())
@@ -183,7 +185,7 @@ def main_text(source: str | None) -> str:
         if paths[e] in content:
             mass[e] += len(t.strip())
     heading = [page.tag[i] in HEADINGS and not out[i] for i in range(n)]
-    linked = ["a" in paths[e] for e, _, _ in real]
+    linked = [in_link[e] for e, _, _ in real]
     for i in range(n - 1, 0, -1):
         mass[page.parent[i]] += mass[i]
         heading[page.parent[i]] |= heading[i]

@@ -85,3 +85,22 @@ def test_trees_of_pages(spark, tables):
             cover = [len({p for r in runs for p in range(r[s], r[s] + r[2])}) for s in (0, 1)]
             want.append((a, b, sum(cover) / sum(live), max(r[2] for r in runs), *cover, *live, sum(cover)))
     assert comparable(map(tuple, catalogue.page_trees(spark, at).collect())) == comparable(want)
+
+
+def test_trees_and_flagship_have_the_pairs_of_what_many_share(spark, tmp_path):
+    text = "a passage that very many of the documents have in common, word for word. " * 2
+    docs = [(i, text if i < 12 else f"{text}and {i} an end of its own" * (i % 3)) for i in range(24)]
+    page = "<html><body>" + "<p>a</p><ul><li>b</ul>" * 12
+    pages = [(i, page if i < 22 else page + "<h1>t</h1><br>" * (i % 3)) for i in range(30)]
+    for name, rows, schema in (("documents", docs, "doc_id bigint, text string"), ("pages", pages, "page_id bigint, html string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query, prints, run in (
+        (catalogue.flagship, catalogue._prints(catalogue._files(spark, str(tmp_path))), 1),
+        (catalogue.page_trees, catalogue.fingerprints(spark.createDataFrame(pages, "file_id bigint, content string"), 12, 8, "html"), 2),
+    ):
+        got = query(spark, str(tmp_path)).collect()
+        ids = prints.select("file_id").distinct()
+        plain = catalogue.matching.metrics(ids, prints, catalogue.matching.matches(prints, run)).select(catalogue.PAIR)
+        assert comparable(map(tuple, got)) == comparable(map(tuple, plain.collect()))
+        assert {(r.left_id, r.right_id) for r in got if r.right_id < 12} == set(itertools.combinations(range(12), 2))
+        assert all(r.similarity == 1 for r in got if r.right_id < 12)

@@ -60,6 +60,11 @@ def _pairs(files: DataFrame, all_pairs: bool = False, **options) -> DataFrame:
     return matching.metrics(files, live, found, all_pairs).select(PAIR)
 
 
+def _uncapped(files: DataFrame, prints: DataFrame, run: int = RUN) -> DataFrame:
+    """Pairs with every fingerprint, however many files share it."""
+    return matching.with_totals(files, prints, matching.overlaps_by_copies(prints, run)).select(PAIR)
+
+
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters and lines of every document that the character tokenizer gives tokens for."""
     prints = fingerprints(_files(spark, sf_dir), 1, 0)
@@ -239,13 +244,13 @@ def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages compared by their element trees; no SQL, tests hold it against a plain matcher."""
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("content"))
     prints = written(fingerprints(pages, 12, 8, "html"), "trees")
-    live = written(ignore.classified(prints, 20)[0], "live")
-    return matching.metrics(pages, live, written(matching.matches(live, 2), "matches")).select(PAIR)
+    return _uncapped(pages, prints, 2)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of all pairs of documents that share passages, best first."""
-    return ordering.sort_pairs(pair_metrics(spark, sf_dir), PairOrder.SIMILARITY)
+    files = _files(spark, sf_dir)
+    return ordering.sort_pairs(_uncapped(files, _prints(files)), PairOrder.SIMILARITY)
 
 
 QUERIES: dict[str, Query] = {

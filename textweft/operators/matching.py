@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textweft.plans.tables import written
+
 KEY = ["left_id", "right_id"]
 
 
@@ -82,15 +84,48 @@ def overlaps(found: DataFrame) -> DataFrame:
     return left.join(right, KEY)
 
 
+def copies(live: DataFrame) -> DataFrame:
+    """``(file_id, copy_of)``: the smallest id among the sequences of ``live(file_id, idx, h)`` that are equal, for each."""
+    sequences = live.groupBy("file_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("idx", "h")))), 256).alias("sequence"))
+    first = sequences.groupBy("sequence").agg(F.min("file_id").alias("copy_of"))
+    return sequences.join(first, "sequence").select("file_id", "copy_of")
+
+
+def overlaps_by_copies(live: DataFrame, min_length: int = 1) -> DataFrame:
+    """``overlaps(matches(live, min_length))``, but equal sequences are matched once, by the one of the smallest id.
+
+    That one is matched with itself, too, if it has copies. What two stand for is then dealt to all their copies' pairs.
+    """
+    member = written(copies(live), "copies")
+    size = member.groupBy("copy_of").agg(F.count("*").alias("copies"))
+    own = written(live.join(size, live["file_id"] == size["copy_of"]).select("file_id", "idx", "h", "copies"), "distinct")
+    x, y = own.alias("x"), own.alias("y")
+    pairs = (F.col("x.file_id") < F.col("y.file_id")) | ((F.col("x.file_id") == F.col("y.file_id")) & (F.col("x.copies") > 1))
+    hits = x.join(y, (F.col("x.h") == F.col("y.h")) & pairs)
+    hits = hits.select(F.col("x.file_id").alias("left_id"), F.col("y.file_id").alias("right_id"), F.col("x.idx").alias("i"), (F.col("y.idx") - F.col("x.idx")).alias("diagonal"))
+    sparse = written(overlaps(written(_runs(hits, min_length), "matches")), "overlaps")
+    a, b = member.select(F.col("copy_of").alias("left_id"), F.col("file_id").alias("a")), member.select(F.col("copy_of").alias("right_id"), F.col("file_id").alias("b"))
+    dealt = sparse.join(a, "left_id").join(b, "right_id").filter((F.col("left_id") < F.col("right_id")) | (F.col("a") < F.col("b")))
+    less = F.col("a") < F.col("b")
+    side = lambda m, n: F.when(less, F.col(m)).otherwise(F.col(n))
+    return dealt.select(
+        side("a", "b").alias("left_id"), side("b", "a").alias("right_id"), side("overlap_left", "overlap_right").alias("overlap_left"), side("overlap_right", "overlap_left").alias("overlap_right"), "longest_fragment", "fragment_total"
+    )
+
+
 def metrics(files: DataFrame, live: DataFrame, found: DataFrame, all_pairs: bool = False) -> DataFrame:
     """``(left_id, right_id, similarity, longest_fragment, overlap_left, overlap_right, total_left, total_right, total_overlap)``.
 
     Pairs without a match are left out, or have zeros if ``all_pairs``: then there are n(n-1)/2 rows, which is what is asked for.
     """
+    return with_totals(files, live, overlaps(found), all_pairs)
+
+
+def with_totals(files: DataFrame, live: DataFrame, sparse: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """The rows of ``metrics`` from the overlaps of pairs."""
     total = totals(files, live)
     left = total.select(F.col("file_id").alias("left_id"), F.col("total").alias("total_left"))
     right = total.select(F.col("file_id").alias("right_id"), F.col("total").alias("total_right"))
-    sparse = overlaps(found)
     if all_pairs:
         pairs = left.join(right, F.col("left_id") < F.col("right_id")).join(sparse, KEY, "left")
     else:

@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 
+import pyarrow.fs as pafs
 import pytest
 import zstandard
 
@@ -63,3 +64,20 @@ def test_payloads_come_back(spark):
     got = sorted(warc.read_archives(warc.write_archives(pages, folder), folder, with_payload=True).collect())
     assert [(r.page_id, bytes(r.payload), r.record_type) for r in got] == [(1, "é".encode(), "response"), (2, b"", "revisit")]
     assert {r.record_type for r in warc.round_trip(pages, least_revisit=3).collect()} == {"response"}
+
+
+def test_a_record_of_a_written_file_can_be_read_alone(spark):
+    folder = new_path(spark, "test-warc")
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>page {i} " + "of words " * 50, None, None) for i in range(20)], SCHEMA).coalesce(1)
+    (file,) = [r.file for r in warc.write_archives(pages, folder).collect()]
+    store, path = pafs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{path}/{file}") as stream:
+        data = stream.read()
+    assert data[:4] == (0x184D2A5D).to_bytes(4, "little")
+    size = int.from_bytes(data[4:8], "little")
+    dictionary, rest, records = zstandard.ZstdCompressionDict(data[8 : 8 + size]), data[8 + size :], []
+    while rest:
+        one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+        records.append(one.decompress(rest))
+        rest = one.unused_data
+    assert len(records) == 20 and all(r.startswith(b"WARC/1.1\r\n") and r.count(b"WARC/1.1") == 1 for r in records)

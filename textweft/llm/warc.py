@@ -142,7 +142,8 @@ def _writer(folder: str, archive_bytes: int):
         def close() -> pa.RecordBatch:
             nonlocal size, nth
             at = f"{name}-{nth:04d}.warc.zst"
-            with store.open_output_stream(at) as out:
+            # by the name's ending all would be compressed once more, as one frame
+            with store.open_output_stream(at, compression=None) as out:
                 out.write(archive(held))
             row = pa.RecordBatch.from_arrays([pa.array([at.removeprefix(path).lstrip("/")]), pa.array([len(held)], pa.int64())], ["file", "records"])
             held.clear()
@@ -187,7 +188,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
         store, path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for file in batch["file"].to_pylist():
-                with store.open_input_stream(f"{path}/{file}") as stream:
+                with store.open_input_stream(f"{path}/{file}", compression=None) as stream:
                     held: list[Record] = []
                     bytes_held = 0
                     for r in read(stream):

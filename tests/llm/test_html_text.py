@@ -19,6 +19,17 @@ def test_article_element_is_taken_whole():
     assert main_text(page) == "Short\nx\ntail end"
 
 
+def test_no_part_of_an_article_in_several_containers_is_left_out():
+    long = "".join(f"<p>Paragraph {i} of the text, which is long, and has its commas.</p>" for i in range(30))
+    lines = "".join(f"\nParagraph {i} of the text, which is long, and has its commas." for i in range(30))
+    for before, after in (("An opening of its own, in a container.", ""), ("", "A closing, which ends the text, of its own.")):
+        page = "<body><nav>menu</nav>" + (before and f"<div><p>{before}</p></div>") + f"<div>{long}</div>" + (after and f"<div><p>{after}</p></div>") + "<footer>x</footer></body>"
+        assert main_text(page) == (before + lines + "\n" + after).strip()
+    assert main_text(f"<body><nav>menu</nav><article>{long}</article><article><p>The second.</p></article></body>") == lines[1:] + "\nThe second."
+    linked = "<article><p>The second.</p><ul><li><a href=x>a</a></ul></article>"
+    assert main_text(f"<body><nav>menu</nav><article>{long}</article>{linked}</body>") == lines[1:] + "\nThe second.\na"
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p>") == main_text("<script>x</script>") == ""
     assert main_text("bare &lt;text&gt;") == "bare <text>"

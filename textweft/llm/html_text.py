@@ -2,8 +2,8 @@
 
 A page is parsed into text nodes with their root-to-leaf tag paths. For each path text length and punctuation are summed and divided
 by the number of its nodes; both ratios are smoothed along the page, fused, and paths that reach a share of the page's mean are
-content. The article is the smallest container that holds nearly all content text without leaving its heading outside. Of that
-container every block is returned whole, except what stands in menus, page headers, footers, asides, notices, adverts, forms,
+content. The article is the smallest container that holds all content text, without leaving its heading or another article
+outside. Of that container every block is returned whole, except what stands in menus, page headers, footers, asides, notices, adverts, forms,
 scripts, styles, comment threads and hidden elements. In a page without an article or main element, link lists on paths below the
 threshold go too.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from textweft.llm import textkernel as tk
 
-#: Of the page's mean fused ratio, from which a path is content; share of content text that a container must hold.
-SHARE, HOLD = 0.25, 0.9
+#: Of the page's mean fused ratio, from which a path is content.
+SHARE = 0.25
 KERNEL = np.array([0.25, 0.5, 0.25])
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
@@ -180,7 +180,7 @@ def main_text(source: str | None) -> str:
         per_path.setdefault(paths[e], []).append(f)
     limit = SHARE * float(fused.mean())
     content = {p for p, f in per_path.items() if sum(f) / len(f) >= limit}
-    mass = [0.0] * n
+    mass, articles = [0] * n, [int(holds[i] and not inside[page.parent[i]] and not out[i]) if i else 0 for i in range(n)]
     for e, t, _ in real:
         if paths[e] in content:
             mass[e] += len(t.strip())
@@ -188,6 +188,7 @@ def main_text(source: str | None) -> str:
     linked = [in_link[e] for e, _, _ in real]
     for i in range(n - 1, 0, -1):
         mass[page.parent[i]] += mass[i]
+        articles[page.parent[i]] += articles[i]
         heading[page.parent[i]] |= heading[i]
     children: dict[int, list[int]] = {}
     for i in range(1, n):
@@ -195,7 +196,7 @@ def main_text(source: str | None) -> str:
     root = 0
     while not holds[root]:
         best = max((c for c in children.get(root, ()) if not out[c]), key=lambda c: mass[c], default=None)
-        if best is None or mass[best] < HOLD * mass[root] or mass[best] == 0 or page.tag[best] in ("p", "li", "tr", "td", "span", "a", "b", "i", "em", "strong") or page.tag[best] in HEADINGS:
+        if best is None or mass[best] < mass[root] or articles[best] < articles[root] or mass[best] == 0 or page.tag[best] in ("p", "li", "tr", "td", "span", "a", "b", "i", "em", "strong") or page.tag[best] in HEADINGS:
             break
         if heading[root] and not heading[best]:
             break
@@ -204,7 +205,7 @@ def main_text(source: str | None) -> str:
     under[root] = True
     for i in range(root + 1, n):
         under[i] = under[page.parent[i]]
-    dropped = set() if holds[root] or inside[root] else {b for (e, _, b), a in zip(real, linked, strict=True) if a and paths[e] not in content} - {b for (e, _, b), a in zip(real, linked, strict=True) if not a}
+    dropped = set() if holds[root] or inside[root] else {b for (e, _, b), a in zip(real, linked, strict=True) if a and paths[e] not in content and not inside[e]} - {b for (e, _, b), a in zip(real, linked, strict=True) if not a}
     blocks: list[str] = []
     current, parts = -1, []
     for e, t, b in [*kept, (root, "", -2)]:

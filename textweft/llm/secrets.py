@@ -1,7 +1,7 @@
 """Secret scan: three patterns, and strings that a dictionary-primed compressor finds new.
 
 The patterns give assignments to secret-like names, access key ids and long hexadecimal runs. Beyond those, every string of 16 or
-more key characters that holds letters and digits and stands near a sensitive word is a candidate. A Zstandard compressor primed
+more key characters that stands near a sensitive word, on from such a string or in a private key's block is a candidate. A Zstandard compressor primed
 with code and identifiers compresses the candidate's surroundings without and with it; the difference are its marginal bytes. What
 is known, be it an identifier or a copy of something beside it, costs next to nothing, while a random string costs its entropy.
 Candidates that cost at least ``NOVELTY`` bytes a character are reported.
@@ -36,6 +36,10 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[ _-]?key|credential|private[ _-]?key|access[ _-]?key|auth(?:orization|_key|_token)|bearer|signature|client[ _-]?id|conn(?:ection)?[_-]?str(?:ing)?|ssh-(?:rsa|ed25519)|BEGIN [A-Z ]*PRIVATE KEY", re.I | re.A)
 _WORDS = ("pass", "secret", "token", "key", "credential", "auth", "bearer", "signature", "client", "conn", "ssh-")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+#: What may stand between the lines of one secret, line breaks in quoted strings included.
+_GAP = re.compile(r"""[\s"'`,;\\]*""")
+_KEY = re.compile(r"BEGIN [A-Z ]*PRIVATE KEY[A-Z ]*-----")
+_LAST = re.compile(r"[A-Za-z0-9+/=]+(?=(?:\s|\\[nr])*\Z)")
 
 #: Raw content of the compressor's dictionary: what code and configuration are full of. The most usual is last.
 DICTIONARY = b"""
@@ -83,10 +87,29 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return _size(around + candidate.encode("utf-8", "surrogatepass")) - _size(around)
 
 
-def _looks_random(s: str) -> bool:
+def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
+def _key_blocks(text: str) -> list[tuple[int, int]]:
+    """What stands between the marks of private keys; a block without an end isn't one."""
+    blocks, at = [], 0
+    while (m := _KEY.search(text, at)) and (end := text.find("-----END", m.end())) >= 0:
+        blocks.append((m.end(), end))
+        at = end
+    return blocks
+
+
+def _candidates(text: str, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Strings of key characters that are long enough, and the last lines of key blocks, which may be short."""
+    found = [m.span() for m in _CANDIDATE.finditer(text)]
+    for lo, hi in blocks:
+        m = _LAST.search(text, max(lo, hi - 2 * LEAST), hi)
+        if m and m.end() - m.start() < LEAST:
+            found.append(m.span())
+    return sorted(found)
+
+
 def novel_spans(text: str, taken: list[Span]) -> list[Span]:
     """Candidates after or at a sensitive word that are new to the compressor and overlap no span of ``taken``."""
     lowered = text.lower()
@@ -99,16 +122,23 @@ def novel_spans(text: str, taken: list[Span]) -> list[Span]:
     ends = [hi for _, hi in places]
     busy = sorted((t.start, t.end) for t in taken)
     reach = list(accumulate((e for _, e in busy), max))
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
+    blocks = _key_blocks(text)
+    last = nth = 0
+    for start, end in _candidates(text, blocks):
         # of the words that end by the candidate's end, the last is the nearest
         near = bisect_right(ends, end) - 1
-        if near < 0 or ends[near] < start - REACH or not _looks_random(m[0]):
+        while nth < len(blocks) and blocks[nth][1] < end:
+            nth += 1
+        in_key = nth < len(blocks) and blocks[nth][0] <= start
+        if not in_key and (near < 0 or ends[near] < start - REACH) and not (last and _GAP.fullmatch(text, last, start)):
             continue
+        last = end
+        if near >= 0 and ends[near] > start and not _mixed(text[start:end]) and len(text[ends[near] : end].lstrip("=_./+-")) < LEAST:
+            continue  # the name of a secret and less than a candidate after it
         before = bisect_left(busy, (end, 0)) - 1
         if before >= 0 and reach[before] > start:
             continue
-        if marginal_bytes(m[0], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * len(m[0]):
+        if marginal_bytes(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * (end - start):
             found.append(Span("novel", start, end))
     return found
 

@@ -84,3 +84,16 @@ def test_odd_rows_and_empty_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in keep_clean(docs, items).collect()) == [(False, 2), (True, None)]
     assert contaminated(docs, items.limit(0)).count() == 0 and contaminated(docs.limit(0), items).count() == 0
     assert keep_clean(docs, items.limit(0)).count() == 4
+
+
+def test_a_text_of_fewer_words_than_the_item_is_compared_whole(spark):
+    item = [f"w{i}" for i in range(59)]
+    shingles = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    docs = {n: item[:n] for n in range(1, 60)} | {100 + n: item[n:] for n in range(30)} | {200: ["other"] * 55}
+    want = {}
+    for d, w in docs.items():
+        both = sum((shingles(w) | shingles(item)).values())
+        if sum((shingles(w) & shingles(item)).values()) / both >= 0.8:
+            want[d] = (0, len(" ".join(w)), sum((shingles(w) & shingles(item)).values()) / both)
+    a, b = spark.createDataFrame([(d, " ".join(w), None, None) for d, w in docs.items()], DOCS), spark.createDataFrame([(1, " ".join(item), None), (2, "quite another item of seven words here", None)], ITEMS)
+    assert {r.doc_id: (r.start, r.end, r.similarity) for r in best_windows(contaminated(a, b)).collect()} == want and 55 in want and 30 not in want

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows of the items' sizes, a multi-index over Hamming blocks and exact verification.
 
 Item and window are multisets of five-word shingles (one shingle of all its words where an item is shorter). An item
-contaminates a text if some window of as many words as the item has a weighted Jaccard, the sum of the smaller counts over the
+contaminates a text if some window of as many words as the item, or all of a text that has fewer, has a weighted Jaccard, the sum of the smaller counts over the
 sum of the larger, of at least the threshold.
 
 1. *Regions.* A window that reaches the threshold shares a shingle with its item. One pass over the texts looks every shingle up in
@@ -219,7 +219,19 @@ def matches_in(hashes: np.ndarray, items: Items, prints: np.ndarray, threshold:
             s = weighted_jaccard(el, wt, items.el[own], items.wt[own])
             if s >= threshold and (j not in best or s > best[j][0]):
                 best[j] = (s, q, int(np.bitwise_count(window_prints[q] ^ prints[j])))
-    return [(j, q, int(items.size[j]), s, d) for j, (s, q, d) in sorted(best.items())]
+    # a region of fewer words than an item that it shares a shingle with is all of its text
+    h = tk.grams(one, k)[0] >> tk.U(16)
+    longer = np.unique(owner[np.isin(items.el, h)])
+    longer = longer[(items.size[longer] > n) & (n - k + 1 >= threshold * (items.size[longer] - k + 1) - 1e-9)]
+    if len(longer):
+        el, wt = np.unique(h, return_counts=True)
+        whole = _fingerprint(_bits(h).sum(axis=0, dtype=np.int32)[None, :])[0]
+        for j in longer.tolist():
+            own = slice(items.cut[j], items.cut[j + 1])
+            s = weighted_jaccard(el, wt, items.el[own], items.wt[own])
+            if s >= threshold:
+                best[j] = (s, 0, int(np.bitwise_count(whole ^ prints[j])))
+    return [(j, q, min(n, int(items.size[j])), s, d) for j, (s, q, d) in sorted(best.items())]
 
 
 def _search(items: Items, prints: np.ndarray, item_type: pa.DataType, threshold: float, radius: int, k: int):

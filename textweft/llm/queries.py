@@ -40,7 +40,7 @@ def op4_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op6_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:

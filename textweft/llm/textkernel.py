@@ -84,13 +84,9 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(texts: pa.Array, fold: bool = True) -> Words:
-    """Words of a string column without nulls; in lower case if ``fold``."""
-    data, off = raw(pc.utf8_lower(texts) if fold else texts)
+def bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of UTF-8 bytes; no word crosses the beginning of a row."""
     n = len(data)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(texts) + 1, np.int64), none, np.zeros(0, U))
     inside = np.zeros(n + 1, bool)
     inside[:n] = _WORD[data]
     opens = np.zeros(n + 1, bool)
@@ -100,8 +96,18 @@ def words(texts: pa.Array, fold: bool = True) -> Words:
     begin[n] = False
     finish = np.zeros(n + 1, bool)
     finish[1:] = inside[:-1] & (~inside[1:] | opens[1:])
-    finish[n] = inside[n - 1]
-    start, end = np.flatnonzero(begin), np.flatnonzero(finish)
+    finish[n] = n > 0 and inside[n - 1]
+    return np.flatnonzero(begin), np.flatnonzero(finish)
+
+
+def words(texts: pa.Array, fold: bool = True) -> Words:
+    """Words of a string column without nulls; in lower case if ``fold``."""
+    data, off = raw(pc.utf8_lower(texts) if fold else texts)
+    n = len(data)
+    if n == 0:
+        none = np.zeros(0, np.int64)
+        return Words(data, none, none, np.zeros(len(texts) + 1, np.int64), none, np.zeros(0, U))
+    start, end = bounds(data, off)
     power, inverse = _power_tables(n + 1)
     sums = np.empty(n + 1, U)
     sums[0] = 0
@@ -143,8 +149,13 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 HASH48 = U((1 << 48) - 1)
 
 
+ROWS = 1 << 16
+
+
 def weighted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, 48 bits of hash) in order, with the number of times each occurs. Rows must be below 65,536."""
+    """Distinct (row, 48 bits of hash) in order, with the number of times each occurs. An error if a row isn't below ``ROWS``."""
+    if len(row) and int(row.max()) >= ROWS:
+        raise ValueError(f"rows must be below {ROWS}")
     key = np.sort((row.astype(U) << U(48)) | (h >> U(16)))
     if not len(key):
         return key, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -154,20 +165,24 @@ def weighted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key & HASH48, (key >> U(48)).astype(np.int64), count
 
 
-def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each row's sequence of words."""
+def range_keys(w: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each run ``first[i]:last[i]`` of words; equal sequences have equal keys."""
     n = len(w.hash)
-    n_rows = len(w.first) - 1
     if n == 0:
-        return np.zeros(n_rows, U), np.zeros(n_rows, U)
+        return np.zeros(len(first), U), np.zeros(len(first), U)
     power, inverse = _power_tables(n + 1)
     keys = []
     for seed in (11, 12):
         sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(w.hash, seed) * power[:n])])
-        keys.append(mix((sums[w.first[1:]] - sums[w.first[:-1]]) * inverse[w.first[:-1]] + np.diff(w.first).astype(U), seed))
+        keys.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(U), seed))
     return keys[0], keys[1]
 
 
+def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row's sequence of words."""
+    return range_keys(w, w.first[:-1], w.first[1:])
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """``out[i]``: code points that begin before byte i."""
     return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -103,3 +103,40 @@ def test_a_long_chain_is_one_component(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(1000, 2000), (2000, 3000)], "a bigint, b bigint"))
     got = {r.node: r.class_id for r in components(links).collect()}
     assert len(got) == 304 and {got[i] for i in range(301)} == {0} and got[3000] == 1000
+
+
+def test_ids_of_several_near_texts(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = []
+    for base_id in range(0, 300, 30):
+        base = rng.choices(vocab, k=120)
+        for i in range(14):
+            words = base[:]
+            for _ in range(rng.randrange(7)):
+                words[rng.randrange(120)] = rng.choice(vocab)
+            # half of the ids have another text as well, near the base or not
+            rows.append((base_id + i, " ".join(words)))
+            if i % 2:
+                other = base[:] if i % 4 == 1 else rng.choices(vocab, k=120)
+                for _ in range(rng.randrange(7)):
+                    other[rng.randrange(120)] = rng.choice(vocab)
+                rows.append((base_id + i, " ".join(other)))
+    want = brute_classes(rows)
+    got = near_duplicates(spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and len(got) == len(rows)
+
+
+def test_memory_of_signing_has_a_bound():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textweft.llm.near_dedup import _signatures
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60_000)), pa.array([f"word{i}" for i in range(60_000)])], ["doc_id", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in _signatures(20, 5, 5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 150 << 20

@@ -11,10 +11,10 @@ with a probability equal to their similarity.
 
 *Candidates.* Texts of equal word sequences are one representative. Representatives that agree in all rows of a band meet.
 
-*Verification.* No group is expanded into pairs. In each band group every member is verified against one hub, the member that
-meets most others over all its bands; linked members become one class. What is left are members of a group whose classes differ. Of them
+*Verification.* No group is expanded into pairs. In each band group every member is verified against one hub, its smallest id;
+linked members become one class. What is left are members of a group whose classes differ. Of them
 a pair is verified unless one of two bounds proves that it can't reach the threshold. ``1 - similarity`` is a metric, so
-``|d(x, hub) - d(y, hub)| <= 1 - threshold`` must hold. And every bit that a bitmap of x's shingles has and y's has not stands for a
+``|d(x, hub) - d(y, hub)| <= 1 - threshold`` must hold; a document of several texts has no one distance and is not bound by it. And every bit that a bitmap of x's shingles has and y's has not stands for a
 shingle that only x has; such shingles' share of x's weight is at most ``1 - similarity``, and among sets without repeats they bound
 plain Jaccard. So the classes are the connected components of all candidate pairs whose exact similarity reaches the threshold.
 """
@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from textweft.llm import textkernel as tk
 from textweft.llm.components import components
+from textweft.llm.filters import bit_table, member, place_of
 from textweft.plans.tables import written
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Bits of a text's bitmap; and at most so many as a power of two for the filter of ids, 16 MB.
-BITMAP, FILTER_BITS = 2048, 27
+#: Bits of a text's bitmap, and texts that are signed at a time.
+BITMAP, SIGNED_ROWS = 2048, 4096
 
 
 def prob_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int, registers: int) -> np.ndarray:
@@ -50,7 +51,7 @@ def prob_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_row
         active = np.flatnonzero(todo[row])
         time = np.zeros(len(active))
         best = np.full(n_rows * registers, np.inf)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        who = np.full(n_rows * registers, -1)
         step = 0
         while len(active):
             bits = tk.mix(element[active], 100 + step)
@@ -60,12 +61,11 @@ def prob_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_row
             active, time = active[alive], time[alive]
             slot = row[active] * registers + (tk.mix(bits[alive], 7) % tk.U(registers)).astype(np.int64)
             np.minimum.at(best, slot, time)
-            found.append((slot, time, active))
+            first = time == best[slot]
+            who[slot[first]] = active[first]
             step += 1
-        flat = signature.reshape(-1)
-        for slot, at, who in found:
-            first = at == best[slot]
-            flat[slot[first]] = element[who[first]] + tk.U(1)
+        full = np.flatnonzero(who >= 0)
+        signature.reshape(-1)[full] = element[who[full]] + tk.U(1)
         todo &= np.isinf(best.reshape(n_rows, registers)).any(axis=1)
         stretch *= 3
     return signature
@@ -110,7 +110,7 @@ def _unpack(b: bytes) -> np.ndarray:
 def _signatures(bands: int, rows: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in tk.slices(batch["text"]):
+            for at, texts in tk.slices(batch["text"], rows=SIGNED_ROWS):
                 w = tk.words(texts)
                 n = len(texts)
                 signature = prob_minhash(*_parts(w, k), n, bands * rows)
@@ -134,7 +134,7 @@ def _sets(k: int, table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch["place"].to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(member(table, place)))
             for at, texts in tk.slices(batch["text"]):
                 e, row, count = _parts(tk.words(texts), k)
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -169,17 +169,6 @@ def _may_reach(threshold: float) -> str:
     return f"{share} and (x.n < x.total or y.n < y.total or {1 + least} * {common} >= {least} * (x.n + y.n))"
 
 
-def _id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """A bit per id by its hash; the size follows the number of ids and has a bound, past which it only lets more rows by."""
-    n = ids.count()
-    width = max(16, min(FILTER_BITS, int(16 * n).bit_length()))
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << width))
-    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {1 << width}L) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros((1 << width) // 64, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return width, table.view(np.uint8)
-
-
 def _weights(wt: bytes, n: int) -> np.ndarray:
     return np.frombuffer(wt, "<u4") if wt else np.ones(n, np.uint32)
 
@@ -204,30 +193,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = tk.SHINGLE) -> DataFrame:
     """``(doc_id, class_id, n_links)`` for every row of ``docs(doc_id, text, ...)``; other columns are ignored.
 
-    ``class_id`` is the smallest doc_id of the class and ``n_links`` the number of verified links of the row's representative to
-    other representatives. Texts without a word (null and empty ones too) and rows without a doc_id are in no group: class_id is
-    their own doc_id. Rows that share a doc_id are one document, which has the links of all its texts. Repeated rows come out
-    as often as they go in. An empty table gives an empty one.
+    ``class_id`` is the smallest doc_id of the class and ``n_links`` the number of the document's verified links: each joins two
+    representatives, most of them a member and the hub of its band group, so it is no count of all near pairs. Texts without a word
+    (null and empty ones too) and rows without a doc_id are in no group: class_id is their own doc_id. Rows that share a doc_id are
+    one document, which has the links of all its texts. Repeated rows come out as often as they go in. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     tk.small_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text")
     signed = written(own.mapInArrow(_signatures(bands, rows, k), f"doc_id {id_type}, k1 long, k2 long, bands array<long>"), "signed")
-    grouped = signed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands"))
-    reps = written(grouped, "reps")
+    named = signed.filter("k1 is not null and doc_id is not null")
+    reps = written(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands")), "reps")
     # a doc_id has several representatives if it has several texts: they share a node, the doc_id
-    members = reps.select("rep", F.explode("bands").alias("band")).distinct()
-    groups = written(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
-    met = written(members.join(groups, "band"), "met")
-    popular = written(met.groupBy("rep").agg(F.sum("n").alias("met"), F.collect_set("band").alias("own")), "popular")
-    hubs = written(met.join(popular.drop("own"), "rep").groupBy("band").agg(F.max(F.struct("met", "rep"))["rep"].alias("hub")), "hubs")
-    met = written(met.join(hubs, "band").select("band", "rep", "hub"), "met-hub")
+    ids = written(reps.groupBy("rep").agg((F.count("*") > 1).alias("several"), F.any_value("bands").alias("own")), "ids")
+    many = reps.join(ids.filter("several"), "rep", "left_semi")
+    members = ids.filter("not several").select("rep", F.explode("own").alias("band")).union(many.select("rep", F.explode("bands").alias("band")).distinct())
+    # one hub for a group; the smallest id of near texts is the same in most bands
+    groups = members.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").select("band", "hub")
+    met = written(members.join(written(groups, "groups"), "band"), "met")
     # the filter keeps most sets from being made, and out of the join's exchange
-    ids = popular.select("rep")
-    width, table = _id_filter(ids)
-    some = own.filter("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << width)))
-    some = some.mapInArrow(_sets(k, table), f"id {id_type}, el binary, wt binary, n long, total long, bits array<long>").join(ids, F.col("id") == F.col("rep"), "left_semi")
+    wanted = written(met.select("rep").distinct(), "wanted")
+    width, table = bit_table(wanted, "rep")
+    some = own.filter("doc_id is not null").withColumn("place", place_of(F.col("doc_id"), width))
+    some = some.mapInArrow(_sets(k, table), f"id {id_type}, el binary, wt binary, n long, total long, bits array<long>").join(wanted, F.col("id") == F.col("rep"), "left_semi")
     # repeated rows of a document have equal sets, and a doc_id with several texts keeps all of them
     sets = written(some.dropDuplicates(["id", "el", "wt"]), "sets")
 
@@ -237,24 +226,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     good = F.col("similarity") >= threshold
     first = _verified(ordered(met, "rep", "hub"), sets)
     # copies of a text, and several texts under one doc_id, are links without verification
-    keyed = signed.filter("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2")
-    same = written(keyed.join(written(reps.filter("rep <> last").select("k1", "k2", "rep"), "copied"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct(), "same")
+    copied = reps.filter("rep <> last").select("k1", "k2", "rep")
+    same = named.select("doc_id", "k1", "k2").join(copied, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     linked = first.filter(good).select("a", "b")
     classes = components(linked)
     at = written(met.join(classes, F.col("rep") == F.col("node"), "left").select("band", "rep", "hub", F.coalesce("class_id", "rep").alias("c")), "placed")
-    open_ = written(at.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band"), "open")
+    open_ = at.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
     near = first.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "similarity").union(first.select("b", "a", "similarity")).groupBy("rep", "hub").agg(F.max("similarity").alias("similarity"))
-    left = at.join(open_, "band").join(near, ["rep", "hub"], "left")
+    left = at.join(written(open_, "open"), "band").join(near, ["rep", "hub"], "left")
     distance = F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(1 - F.coalesce("similarity", F.lit(0.0)))
-    left = left.join(sets.select(F.col("id").alias("rep"), "n", "total", "bits"), "rep").join(popular.select("rep", "own"), "rep").select("band", "rep", "c", distance.alias("d"), "n", "total", "bits", "own")
+    left = left.join(sets.select(F.col("id").alias("rep"), "n", "total", "bits"), "rep").join(ids, "rep").select("band", "rep", "c", distance.alias("d"), "n", "total", "bits", "several", "own")
     left = written(left, "left")
     if not left.isEmpty():
-        # of the bands that a pair shares the smallest gives it
-        rest = left.alias("x").join(left.alias("y"), F.expr(f"x.band = y.band and x.c < y.c and abs(x.d - y.d) <= {1 - threshold + 1e-9} and {_may_reach(threshold)} and array_min(array_intersect(x.own, y.own)) = x.band"))
+        # several texts have no one distance from a hub; of the bands that a pair shares the smallest gives it
+        close = f"(x.several or y.several or (abs(x.d - y.d) <= {1 - threshold + 1e-9} and array_min(array_intersect(x.own, y.own)) = x.band))"
+        rest = left.alias("x").join(left.alias("y"), F.expr(f"x.band = y.band and x.c < y.c and {close} and {_may_reach(threshold)}"))
         rest = ordered(rest.select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q")), "p", "q").join(first, ["a", "b"], "left_anti")
-        linked = written(linked.union(_verified(rest, sets).filter(good).select("a", "b")), "linked")
+        linked = written(linked.union(_verified(rest, sets).filter(good).select("a", "b")).distinct(), "linked")
     classes = components(linked.union(same))
-    ends = linked.select("a").union(linked.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
+    # of a pair with several texts each two that are near give a link
+    links = linked.distinct()
+    ends = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     of = written(classes.join(ends, F.col("node") == F.col("a"), "left").select("node", "class_id", "n_links"), "classes")
     return signed.select("doc_id").join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

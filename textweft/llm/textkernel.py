@@ -50,14 +50,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Pieces of a string column of about ``most`` bytes, with the row where each begins. Nulls become empty."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int = 60_000) -> Iterator[tuple[int, pa.Array]]:
+    """Pieces of a string column of about ``most`` bytes and at most ``rows`` rows, with the row where each begins. Nulls become empty."""
     texts = texts.fill_null("")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         before = ends[at - 1] if at else 0
-        stop = max(at + 1, min(int(np.searchsorted(ends, before + most, "right")), at + 60_000))
+        stop = max(at + 1, min(int(np.searchsorted(ends, before + most, "right")), at + rows))
         yield at, texts.slice(at, stop - at)
         at = stop
 

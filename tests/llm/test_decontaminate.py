@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from textweft.llm.decontaminate import MultiIndex, best_windows, contaminated, keep_clean
 
@@ -97,3 +98,31 @@ def test_a_text_of_fewer_words_than_the_item_is_compared_whole(spark):
             want[d] = (0, len(" ".join(w)), sum((shingles(w) & shingles(item)).values()) / both)
     a, b = spark.createDataFrame([(d, " ".join(w), None, None) for d, w in docs.items()], DOCS), spark.createDataFrame([(1, " ".join(item), None), (2, "quite another item of seven words here", None)], ITEMS)
     assert {r.doc_id: (r.start, r.end, r.similarity) for r in best_windows(contaminated(a, b)).collect()} == want and 55 in want and 30 not in want
+
+
+def test_more_items_than_rows_of_a_slice():
+    import pyarrow as pa
+
+    from textweft.llm.decontaminate import _search, items_of
+    from textweft.llm import textkernel as tk
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(6)) for _ in range(70_000)]
+    items = items_of(list(range(len(texts))), texts)
+    assert len(items.size) == 70_000 and items.cut[-1] == len(items.el) and set(np.diff(items.cut).tolist()) == {2}
+    some = [0, 1, 65_535, 65_536, 69_999]
+    for i in some:
+        el, _, _ = tk.weighted(*tk.shingles(tk.words(pa.array([texts[i]]))))
+        assert items.el[items.cut[i] : items.cut[i + 1]].tolist() == el.tolist()
+    regions = [tk.words(pa.array([f"before {texts[i]} after"])).hash for i in some]
+    at = np.arange(8, dtype="<i8").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(some), pa.array([h.tobytes() for h in regions]), pa.array([at] * 5), pa.array([at] * 5)], ["doc_id", "hashes", "begins", "ends"])
+    found = pa.Table.from_batches(list(_search(items, pa.int64(), 0.8, 19, 5, 2)(iter([batch])))).to_pylist()
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["end"]) for r in found) == [(i, i, 1, 6) for i in some]
+
+
+def test_rows_beyond_the_packing_are_an_error():
+    from textweft.llm import textkernel as tk
+
+    with pytest.raises(ValueError, match="rows"):
+        tk.weighted(np.zeros(1, np.uint64), np.array([1 << 16]))

@@ -5,8 +5,8 @@ contaminates a text if some window of as many words as the item, or all of a tex
 sum of the larger, of at least the threshold.
 
 1. *Regions.* A window that reaches the threshold shares a shingle with its item. One pass over the texts looks every shingle up in
-   a table of the benchmark's shingles and keeps the words around hits; all else can hold no match. What it writes
-   is small next to the corpus.
+   tables of bits of all the benchmark's shingles, one for each size of items by powers of two, and keeps the words around hits; all
+   else can hold no match. What it writes is small next to the corpus.
 2. *Fingerprints.* In a region, every window of the size of an item that has a hit there gets a 64-bit SimHash of its weighted
    shingles, from running sums of votes.
 3. *Multi-index.* Fingerprints are cut into four 16-bit blocks. Two fingerprints within a Hamming radius r agree in some block up
@@ -14,8 +14,10 @@ sum of the larger, of at least the threshold.
    the radius.
 4. *Verification.* Candidates are verified by their exact weighted Jaccard.
 
-The benchmark is read in blocks of a bounded number of bytes, each with a pass of its own; within a block the index is built for a
-bounded number of items at a time. So memory has a bound for any benchmark, and no part of it is left out.
+The corpus is read once. Regions are searched with the benchmark in blocks of a bounded number of bytes, one after another; within a
+block the index is built for a bounded number of items at a time, of those that share a shingle with the regions at hand. So memory
+has a bound for any benchmark, and no part of it is left out. A text is never cut: a task holds the words of one slice of texts, or of
+one text if that is longer.
 """
 
 from __future__ import annotations
@@ -32,16 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweft.llm import textkernel as tk
-from textweft.plans.tables import written
+from textweft.llm.filters import bit_table, member
+from textweft.plans.tables import new_path, written
 
 THRESHOLD = 0.8
 #: Bits that a window's fingerprint may differ from its item's. At the threshold 10 of 64 differ on average, with a deviation of 3.
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
-#: Bytes of benchmark texts that one pass over the documents takes along.
+#: Bytes of benchmark texts that one pass over the regions takes along.
 BENCHMARK_BYTES = 16 << 20
-#: Items that one index holds.
-INDEX_ITEMS = 512
+#: Items that one index holds, and bits of a table of shingles at most, as a power of two.
+INDEX_ITEMS, TABLE_BITS = 512, 26
 
 
 class Items(NamedTuple):
@@ -56,12 +59,20 @@ class Items(NamedTuple):
 
 def items_of(ids: list, texts: list[str | None], k: int = tk.SHINGLE) -> Items:
     """Items that have a word; an id that occurs twice is two items."""
-    w = tk.words(pa.array(texts, pa.large_string()).fill_null(""))
-    el, row, wt = tk.weighted(*tk.shingles(w, k))
-    size = np.diff(w.first)
-    some = np.flatnonzero(size)
-    cut = np.append(np.searchsorted(row, some), len(row))
-    return Items(np.array(ids, dtype=object)[some], size[some], cut, el, wt)
+    column = pa.array(texts, pa.large_string())
+    els, wts, counts, sizes, kept = [np.zeros(0, tk.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, part in tk.slices(column):
+        w = tk.words(part)
+        el, row, wt = tk.weighted(*tk.shingles(w, k))
+        size = np.diff(w.first)
+        some = np.flatnonzero(size)
+        els.append(el)
+        wts.append(wt)
+        counts.append(np.bincount(row, minlength=len(part))[some])
+        sizes.append(size[some])
+        kept.append(some + at)
+    cut = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return Items(np.array(ids, dtype=object)[np.concatenate(kept)], np.concatenate(sizes), cut, np.concatenate(els), np.concatenate(wts))
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -108,51 +119,60 @@ class MultiIndex:
         return found // len(self.prints), found % len(self.prints)
 
 
-class Plan(NamedTuple):
-    """What a pass over the texts needs of a block of items."""
+class Table(NamedTuple):
+    """Bits of the shingles of ``n`` words that items of at most ``longest`` words have."""
 
-    filter: np.ndarray
-    keys: np.ndarray
-    longest: np.ndarray
-    short: tuple[int, ...]
+    n: int
+    longest: int
+    width: int
+    bits: np.ndarray
 
 
-def plan_of(items: Items, k: int = tk.SHINGLE) -> Plan:
-    owner = np.repeat(np.arange(len(items.size)), np.diff(items.cut))
-    order = np.lexsort((-items.size[owner], items.el))
-    key = items.el[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    bits = 16
-    while (1 << bits) < 16 * len(new) and bits < 27:
-        bits += 1
-    member = np.zeros(1 << bits, bool)
-    member[(key[new] & tk.U((1 << bits) - 1)).astype(np.int64)] = True
-    return Plan(member, key[new], items.size[owner][order][new], tuple(sorted({int(n) for n in items.size if n < k})))
-
-
-def _hits(w: tk.Words, plan: Plan, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word where a hit begins, its words, and the words of the longest item that has the shingle."""
-    at_all, n_all, long_all = [], [], []
-    for n in (*plan.short, k):
+def _item_keys(k: int):
+    """``(n, grade, key)`` of each item's shingles: their words, the power of two that bounds the item's words, and 48 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in tk.slices(batch["text"]):
+                w = tk.words(texts)
+                h, row = tk.shingles(w, k)
+                size = np.diff(w.first)[row]
+                grade = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(size, k).astype(np.int32)), pa.array(grade), pa.array((h >> tk.U(16)).view(np.int64))], ["n", "grade", "key"])
+
+    return run
+
+
+def shingle_tables(items: DataFrame, k: int = tk.SHINGLE) -> list[Table]:
+    """Tables for a pass over the texts, of all of ``items(text)``: one for each size of items, by powers of two."""
+    keys = written(items.select("text").mapInArrow(_item_keys(k), "n int, grade int, key long").distinct(), "item-keys")
+    kinds = sorted((r["n"], r["grade"]) for r in keys.select("n", "grade").distinct().collect())  # k + 30 at most
+    return [Table(n, 1 << g, *bit_table(keys.filter((F.col("n") == n) & (F.col("grade") == g)), "key", TABLE_BITS, hashed=True)) for n, g in kinds]
+
+
+def _hits(w: tk.Words, tables: list[Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word where a hit begins, its words, and the words of the longest item that may have the shingle."""
+    at_all, n_all, long_all = ([np.zeros(0, np.int64)] for _ in range(3))
+    for n in sorted({t.n for t in tables}):
         h, at = tk.grams(w, n)
-        h = h >> tk.U(16)
-        maybe = np.flatnonzero(plan.filter[(h & tk.U(len(plan.filter) - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(plan.keys, h[maybe]), len(plan.keys) - 1)
-        sure = plan.keys[place] == h[maybe]
-        at_all.append(at[maybe[sure]])
-        n_all.append(np.full(sure.sum(), n))
-        long_all.append(plan.longest[place[sure]])
+        h = (h >> tk.U(16)).view(np.int64)
+        for t in tables:
+            if t.n == n:
+                hit = at[member(t.bits, h & ((1 << t.width) - 1))]
+                at_all.append(hit)
+                n_all.append(np.full(len(hit), n))
+                long_all.append(np.full(len(hit), t.longest))
     return np.concatenate(at_all), np.concatenate(n_all), np.concatenate(long_all)
 
 
-def _regions(plan: Plan, k: int):
+def _regions(tables: list[Table]):
     """Words around hits, as rows (doc_id, hashes, begins, ends); begins and ends are code points of each word in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in tk.slices(batch["text"]):
                 w = tk.words(texts)
-                hit, n, longest = _hits(w, plan, k)
+                hit, n, longest = _hits(w, tables)
                 if not len(hit):
                     continue
                 row = w.row[hit]
@@ -234,19 +254,40 @@ def matches_in(hashes: np.ndarray, items: Items, prints: np.ndarray, threshold:
     return [(j, q, min(n, int(items.size[j])), s, d) for j, (s, q, d) in sorted(best.items())]
 
 
-def _search(items: Items, prints: np.ndarray, item_type: pa.DataType, threshold: float, radius: int, k: int):
+def _parts(regions: list[np.ndarray], items: Items, most: int, k: int) -> Iterator[Items]:
+    """Items that an index is made of: all if they are few, else those that share a shingle with some region, ``most`` at a time."""
+    n = len(items.size)
+    if n <= most:
+        yield items
+        return
+    shared = np.zeros(len(items.el), bool)
+    for h in regions:
+        one = tk.Words(None, None, None, np.array([0, len(h)]), np.zeros(len(h), np.int64), h)
+        for size in (*{int(x) for x in items.size if x < k}, k):
+            shared |= np.isin(items.el, tk.grams(one, size)[0] >> tk.U(16))
+    owner = np.repeat(np.arange(n), np.diff(items.cut))
+    some = np.unique(owner[shared])
+    for at in range(0, len(some), most):
+        own = some[at : at + most]
+        place = np.concatenate([np.arange(items.cut[i], items.cut[i + 1]) for i in own])
+        yield Items(items.ids[own], items.size[own], np.concatenate([[0], np.cumsum(np.diff(items.cut)[own])]), items.el[place], items.wt[place])
+
+
+def _search(items: Items, item_type: pa.DataType, threshold: float, radius: int, k: int, index_items: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, item, begin, end, similarity, bits = [], [], [], [], [], []
-            for i, (h, b, e) in enumerate(zip(*(batch[c].to_pylist() for c in ("hashes", "begins", "ends")), strict=True)):
-                begins, ends = np.frombuffer(b, "<i8"), np.frombuffer(e, "<i8")
-                for j, at, n, s, d in matches_in(np.frombuffer(h, np.uint64), items, prints, threshold, radius, k):
-                    doc.append(i)
-                    item.append(items.ids[j])
-                    begin.append(int(begins[at]))
-                    end.append(int(ends[at + n - 1]))
-                    similarity.append(s)
-                    bits.append(d)
+            hashes, begins, ends = ([np.frombuffer(x, kind) for x in batch[c].to_pylist()] for c, kind in (("hashes", np.uint64), ("begins", "<i8"), ("ends", "<i8")))
+            for part in _parts(hashes, items, index_items, k):
+                prints = item_prints(part)
+                for i, h in enumerate(hashes):
+                    for j, at, n, s, d in matches_in(h, part, prints, threshold, radius, k):
+                        doc.append(i)
+                        item.append(part.ids[j])
+                        begin.append(int(begins[i][at]))
+                        end.append(int(ends[i][at + n - 1]))
+                        similarity.append(s)
+                        bits.append(d)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(doc, pa.int64())), pa.array(item, item_type), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(similarity, pa.float64()), pa.array(bits, pa.int32())], ["doc_id", "item_id", "start", "end", "similarity", "hamming"])
 
     return run
@@ -268,20 +309,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     n_blocks = -(-size // benchmark_bytes)
     schema = f"doc_id {doc_type.simpleString()}, item_id {item_type.simpleString()}, start long, end long, similarity double, hamming int"
-    result = spark.createDataFrame([], schema)
+    if not n_blocks:
+        return spark.createDataFrame([], schema)
     texts = docs.select("doc_id", "text").filter("text is not null")
+    found = written(texts.mapInArrow(_regions(shingle_tables(own, k)), f"doc_id {doc_type.simpleString()}, hashes binary, begins binary, ends binary"), "regions")
+    # a block's matches go to one table, so the plan is the same for any number of blocks
+    where = new_path(spark, "windows")
     for block in range(n_blocks):
-        rows = own.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()  # at most about benchmark_bytes
+        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()  # about benchmark_bytes
         items = items_of([r["item_id"] for r in rows], [r["text"] for r in rows], k)
-        if not len(items.size):
-            continue
-        found = written(texts.mapInArrow(_regions(plan_of(items, k), k), f"doc_id {doc_type.simpleString()}, hashes binary, begins binary, ends binary"), "regions")
-        for at in range(0, len(items.size), index_items):
-            stop = min(at + index_items, len(items.size))
-            lo, hi = items.cut[at], items.cut[stop]
-            part = Items(items.ids[at:stop], items.size[at:stop], items.cut[at : stop + 1] - lo, items.el[lo:hi], items.wt[lo:hi])
-            result = result.union(found.mapInArrow(_search(part, item_prints(part), to_arrow_type(item_type), threshold, radius, k), schema))
-    return result
+        found.mapInArrow(_search(items, to_arrow_type(item_type), threshold, radius, k, index_items), schema).write.mode("append").parquet(where)
+    return spark.read.schema(schema).parquet(where)
 
 
 def best_windows(found: DataFrame) -> DataFrame:

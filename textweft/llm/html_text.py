@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 A page is parsed into text nodes with their root-to-leaf tag paths. For each path text length and punctuation are summed and divided
-by the number of its nodes; both ratios are smoothed along the page, fused, and paths that reach a share of the page's mean are
-content. The article is the smallest container that holds all content text, without leaving its heading or another article
-outside. Of that container every block is returned whole, except what stands in menus, page headers, footers, asides, notices, adverts, forms,
-scripts, styles, comment threads and hidden elements. In a page without an article or main element, link lists on paths below the
-threshold go too.
+by the number of its nodes; both ratios are smoothed along the page and fused. A word of a class, id or role that is usual for what
+isn't the article is a step of the path and a prior: a factor below 1, small for ``STRONG`` words such as those of adverts and comments.
+Paths whose ratio times prior reaches a share of the page's mean are content, and paths with a prior that don't reach it go.
+
+The article is the smallest container that holds all content text, without leaving its heading or another article outside. Of that
+container every block is returned whole, headings and other short ones too; menus, page headers, footers, asides, form controls,
+scripts, styles and hidden elements are never text. In a page without an article or main element, link lists on paths that aren't content
+go too. The time is linear in the page; a page is never cut.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from textweft.llm import textkernel as tk
 
-#: Of the page's mean fused ratio, from which a path is content.
+#: Of the page's mean fused ratio, from which a path's ratio times its prior makes it content.
 SHARE = 0.25
 KERNEL = np.array([0.25, 0.5, 0.25])
 
@@ -35,15 +38,19 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
-NEVER = frozenset("head script style noscript template svg math canvas object iframe nav footer aside form button select option textarea input label fieldset legend dialog menu title xmp noembed noframes audio video map".split())
+NEVER = frozenset("head script style noscript template svg math canvas object iframe nav footer aside button select option textarea input label fieldset legend dialog menu title xmp noembed noframes audio video map".split())
 HEADINGS = frozenset("h1 h2".split())
-#: Words of a class, id or role that mark what is not the article.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted cookie cookies consent notice gdpr newsletter subscribe "
-    "subscription sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social related "
-    "recommended popup modal overlay disclaimer copyright login signin signup search searchbox pagination pager toolbar widget skip alert dialog complementary contentinfo form".split()
+ALL_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class, id or role that mark what is seldom or never the article, and the priors of their paths.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies consent notice gdpr newsletter subscribe "
+    "subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus share sharing social popup modal "
+    "overlay copyright login signin signup pagination pager toolbar complementary contentinfo form banner header masthead".split()
 )
-_IN_ARTICLE = MARKS - {"header", "masthead", "banner"}
+WEAK = frozenset("related recommended search searchbox widget skip alert dialog aside disclaimer".split())
+STRONG_PRIOR, WEAK_PRIOR = 0.02, 0.4
+#: Those that an article's own parts may have.
+_OWN = frozenset("header masthead banner".split())
 THREADS = frozenset("comment comments reply replies disqus".split())
 #: A start tag of the key closes an open element of the value, up to the elements that bound it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "thead": ("tr", "td", "th")}
@@ -64,19 +71,26 @@ def _marked(attributes: str) -> set[str]:
     return found
 
 
+_P_BOUND = frozenset("button table td th li article section div body html form aside nav footer header main blockquote".split())
+
+
 class _Page:
     """Elements as parallel lists (parent, tag, marks) and text nodes as (element, text, block)."""
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.marks = [-1], ["#"], [frozenset()]
         self.nodes: list[tuple[int, str, int]] = []
-        stack, block, at = [0], 0, 0
+        self._stack = [0]
+        # where in the stack elements of a name are open, and block elements: no search of the stack
+        self._open: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
+        block, at = 0, 0
         end = len(source)
         while at < end:
             m = _TOKEN.search(source, at)
             text_end = m.start() if m else end
             if text_end > at:
-                self.nodes.append((stack[-1], source[at:text_end], block))
+                self.nodes.append((self._stack[-1], source[at:text_end], block))
             if not m:
                 break
             at = m.end()
@@ -87,125 +101,149 @@ class _Page:
             if name in BLOCK:
                 block += 1
             if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        del stack[i:]
-                        break
-                    if name not in BLOCK and self.tag[stack[i]] in BLOCK:
-                        break
+                place = self._last(name)
+                if place > 0 and (name in BLOCK or not self._blocks or self._blocks[-1] < place):
+                    self._cut(place)
                 continue
             attributes = m[3] or m[6] or ""
             if name in BLOCK:
-                self._close(stack, ("p",), frozenset("button table td th li article section div body html form aside nav footer header main blockquote".split()))
-                if name in ("h1", "h2", "h3", "h4", "h5", "h6") and len(stack) > 1 and self.tag[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    stack.pop()
+                self._close(("p",), _P_BOUND)
+                if name in ALL_HEADINGS and len(self._stack) > 1 and self.tag[self._stack[-1]] in ALL_HEADINGS:
+                    self._cut(len(self._stack) - 1)
             if name in _CLOSES:
-                self._close(stack, _CLOSES[name], _BOUND)
+                self._close(_CLOSES[name], _BOUND)
             if name == "body":
-                self._close(stack, ("head",), frozenset())
+                self._close(("head",), frozenset())
             if name in ("td", "th", "br", "hr", "img"):
-                self.nodes.append((stack[-1], " ", block))
+                self.nodes.append((self._stack[-1], " ", block))
             if name in VOID:
                 continue
-            self.parent.append(stack[-1])
+            self.parent.append(self._stack[-1])
             self.tag.append(name)
             self.marks.append(frozenset(_marked(attributes)) if attributes else frozenset())
-            element = len(self.tag) - 1
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else end
                 continue
             if not attributes.endswith("/") or name in BLOCK:
-                stack.append(element)
-
-    def _close(self, stack: list[int], names: tuple[str, ...], bounds: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] in names:
-                del stack[i:]
-                if len(names) == 1:
-                    return
-            elif self.tag[stack[i]] in bounds:
+                self._open.setdefault(name, []).append(len(self._stack))
+                if name in BLOCK:
+                    self._blocks.append(len(self._stack))
+                self._stack.append(len(self.tag) - 1)
+
+    def _last(self, name: str) -> int:
+        found = self._open.get(name)
+        return found[-1] if found else 0
+
+    def _cut(self, place: int) -> None:
+        """Closes all elements from a place of the stack on."""
+        while len(self._stack) > place:
+            name = self.tag[self._stack.pop()]
+            self._open[name].pop()
+            if name in BLOCK:
+                self._blocks.pop()
+
+    def _close(self, names: tuple[str, ...], bounds: frozenset[str]) -> None:
+        while (place := max(map(self._last, names))) and place > max(map(self._last, bounds), default=0):
+            self._cut(place)
+            if len(names) == 1:
                 return
 
 
-def main_text(source: str | None) -> str:
-    """The article of a page; empty for null, empty or text-free pages."""
+def path_ratios(paths: list[int], texts: list[str]) -> dict[int, float]:
+    """The fused ratio of each path over the page's mean, from the paths of the text nodes in page order."""
+    sums: dict[int, list[float]] = {}
+    for p, t in zip(paths, texts, strict=True):
+        s = sums.setdefault(p, [0, 0, 0])
+        s[0] += len(t.strip())
+        s[1] += len(_PUNCTUATION.findall(t))
+        s[2] += 1
+    length = _smooth(np.array([sums[p][0] / sums[p][2] for p in paths]))
+    marks = _smooth(np.array([sums[p][1] / sums[p][2] for p in paths]))
+    fused = length * (1 + marks)
+    per_path: dict[int, list[float]] = {}
+    for p, f in zip(paths, fused, strict=True):
+        per_path.setdefault(p, []).append(f)
+    mean = float(fused.mean())
+    return {p: sum(f) / len(f) / mean for p, f in per_path.items()}
+
+
+def main_text(source: str | None, share: float = SHARE) -> str:
+    """The article of a page; empty for null, empty or text-free pages. Paths from ``share`` of the mean ratio on are content."""
     if not source:
         return ""
     page = _Page(source)
-    n = len(page.tag)
-    holds = [t in ("article", "main") and not (page.marks[i] & _IN_ARTICLE) for i, t in enumerate(page.tag)]
+    n, parent = len(page.tag), page.parent
+    holds = [t in ("article", "main") and not (page.marks[i] & ((STRONG | WEAK) - _OWN)) for i, t in enumerate(page.tag)]
     inside = holds[:]
     for i in range(1, n):
-        inside[i] |= inside[page.parent[i]]
+        inside[i] |= inside[parent[i]]
     around = holds[:]
-    for i in range(n - 1, 0, -1):
-        around[page.parent[i]] |= around[i]
     size, titled = [0] * n, [t == "h1" for t in page.tag]
     for e, t, _ in page.nodes:
         size[e] += len(t)
     for i in range(n - 1, 0, -1):
+        around[parent[i]] |= around[i]
         if page.tag[i] not in NEVER:
-            size[page.parent[i]] += size[i]
-        titled[page.parent[i]] |= titled[i]
-    out = [False] * n
+            size[parent[i]] += size[i]
+        titled[parent[i]] |= titled[i]
+    out, prior = [False] * n, [1.0] * n
     for i in range(1, n):
         tag, marks = page.tag[i], page.marks[i]
         bad = tag in NEVER or (tag == "header" and not inside[i]) or "hidden" in marks
-        if marks and not around[i] and tag not in ("html", "body") or (marks and tag == "article" and not holds[i]):
-            named = marks & (_IN_ARTICLE if inside[i] else MARKS)
+        out[i] = out[parent[i]] or (bad and not (around[i] and tag not in NEVER))
+        own = 1.0
+        if not around[i] and tag not in ("html", "body") or tag == "article" and not holds[i]:
+            strong, weak = marks & STRONG, marks & WEAK
+            if inside[i]:
+                strong -= _OWN
             # what has the title, or most text of a page without an article, is a wrapper with an unlucky name, unless it is a thread
-            bad = bad or bool(named & THREADS) or bool(named) and not (titled[i] or (not around[0] and 2 * size[i] > size[0]))
-        out[i] = out[page.parent[i]] or (bad and not (around[i] and tag not in NEVER))
-    kept = [(e, t, b) for e, t, b in page.nodes if not out[e]]
-    real = [(e, entities.unescape(t), b) for e, t, b in kept if t.strip()]
+            wrapper = titled[i] or (not around[0] and 2 * size[i] > size[0])
+            if strong & THREADS or (not wrapper and (strong or tag == "form")):
+                own = STRONG_PRIOR
+            elif weak and not wrapper:
+                own = WEAK_PRIOR
+        prior[i] = min(prior[parent[i]], own)
+    real = [(e, entities.unescape(t)) for e, t, _ in page.nodes if not out[e] and t.strip()]
     if not real:
         return ""
-    # a path is the number of its parent's path and a tag
+    # a path is the number of its parent's path, a tag and a prior
     paths, known, in_link = [0] * n, {}, [False] * n
     for i in range(1, n):
-        paths[i] = known.setdefault((paths[page.parent[i]], page.tag[i]), len(known) + 1)
-        in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
-    sums: dict[int, list[float]] = {}
-    for e, t, _ in real:
-        s = sums.setdefault(paths[e], [0, 0, 0])
-        s[0] += len(t.strip())
-        s[1] += len(_PUNCTUATION.findall(t))
-        s[2] += 1
-    length = _smooth(np.array([sums[paths[e]][0] / sums[paths[e]][2] for e, _, _ in real]))
-    marks = _smooth(np.array([sums[paths[e]][1] / sums[paths[e]][2] for e, _, _ in real]))
-    fused = length * (1 + marks)
-    per_path: dict[int, list[float]] = {}
-    for (e, _, _), f in zip(real, fused, strict=True):
-        per_path.setdefault(paths[e], []).append(f)
-    limit = SHARE * float(fused.mean())
-    content = {p for p, f in per_path.items() if sum(f) / len(f) >= limit}
-    mass, articles = [0] * n, [int(holds[i] and not inside[page.parent[i]] and not out[i]) if i else 0 for i in range(n)]
-    for e, t, _ in real:
+        paths[i] = known.setdefault((paths[parent[i]], page.tag[i], prior[i]), len(known) + 1)
+        in_link[i] = in_link[parent[i]] or page.tag[i] == "a"
+    ratio = path_ratios([paths[e] for e, _ in real], [t for _, t in real])
+    content = {paths[e] for e, _ in real if ratio[paths[e]] * prior[e] >= share}
+    for i in range(1, n):
+        out[i] = out[i] or (prior[i] < 1 and paths[i] not in content)
+    kept = [(e, t, b) for e, t, b in page.nodes if not out[e]]
+    mass, articles = [0] * n, [int(holds[i] and not inside[parent[i]] and not out[i]) if i else 0 for i in range(n)]
+    for e, t in real:
         if paths[e] in content:
             mass[e] += len(t.strip())
     heading = [page.tag[i] in HEADINGS and not out[i] for i in range(n)]
-    linked = [in_link[e] for e, _, _ in real]
     for i in range(n - 1, 0, -1):
-        mass[page.parent[i]] += mass[i]
-        articles[page.parent[i]] += articles[i]
-        heading[page.parent[i]] |= heading[i]
-    children: dict[int, list[int]] = {}
+        mass[parent[i]] += mass[i]
+        articles[parent[i]] += articles[i]
+        heading[parent[i]] |= heading[i]
+    best = [0] * n
     for i in range(1, n):
-        children.setdefault(page.parent[i], []).append(i)
+        if not out[i] and (not best[parent[i]] or mass[i] > mass[best[parent[i]]]):
+            best[parent[i]] = i
     root = 0
     while not holds[root]:
-        best = max((c for c in children.get(root, ()) if not out[c]), key=lambda c: mass[c], default=None)
-        if best is None or mass[best] < mass[root] or articles[best] < articles[root] or mass[best] == 0 or page.tag[best] in ("p", "li", "tr", "td", "span", "a", "b", "i", "em", "strong") or page.tag[best] in HEADINGS:
+        b = best[root]
+        if not b or mass[b] < mass[root] or articles[b] < articles[root] or mass[b] == 0 or page.tag[b] in _NO_CONTAINER or (heading[root] and not heading[b]):
             break
-        if heading[root] and not heading[best]:
-            break
-        root = best
+        root = b
     under = [False] * n
     under[root] = True
     for i in range(root + 1, n):
-        under[i] = under[page.parent[i]]
-    dropped = set() if holds[root] or inside[root] else {b for (e, _, b), a in zip(real, linked, strict=True) if a and paths[e] not in content and not inside[e]} - {b for (e, _, b), a in zip(real, linked, strict=True) if not a}
+        under[i] = under[parent[i]]
+    dropped: set[int] = set()
+    if not holds[root] and not inside[root]:
+        solid = [(e, b) for e, t, b in kept if t.strip()]
+        dropped = {b for e, b in solid if in_link[e] and paths[e] not in content and not inside[e]} - {b for e, b in solid if not in_link[e]}
     blocks: list[str] = []
     current, parts = -1, []
     for e, t, b in [*kept, (root, "", -2)]:
@@ -219,11 +257,14 @@ def main_text(source: str | None) -> str:
     return "\n".join(blocks)
 
 
+_NO_CONTAINER = HEADINGS | frozenset("p li tr td span a b i em strong".split())
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html, ...)``.
 
     A null html is empty, and a page without text gives an empty text. Ids and urls may be null or repeat; there is one row per row.
@@ -235,7 +276,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch["html"]]
+            texts = [main_text(x.as_py(), share) for x in batch["html"]]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return own.mapInArrow(run, ", ".join([*types, "text string", "n_chars long"]))

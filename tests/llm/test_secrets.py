@@ -87,3 +87,22 @@ def test_rows(spark):
     assert clean.columns == docs.columns
     assert sorted(map(tuple, clean.filter("doc_id < 5").collect()), key=repr) == sorted([(1, "[REDACTED]", 10, None)] * 2 + [(2, None, None, None), (3, "", 0, None), (4, "clean", 5, None)], key=repr)
     assert sec.scan(docs.limit(0)).count() == sec.redact(docs.limit(0)).count() == 0
+
+
+def test_novelty_finds_planted_strings_that_the_patterns_miss():
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice("the service reads its settings from a file and sends every request to another host by name".split()) for _ in range(n))
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    fresh = lambda n: "".join(rng.choices(alphabet, k=n))
+    forms = ("Authorization: Bearer {}", "credential file has {}", "signature {}", "conn_string {}", "private key {}", "passphrase is {}")
+    known = ("get_password_reset_token_value", "forgot_password_reset_token", "access_token_refresh_token", "https://www.example.com/index.html", "application/json", "connection_string_host_port")
+    novel = base = wrong = 0
+    for i in range(300):
+        secret = fresh(rng.randrange(20, 48))
+        line = forms[i % len(forms)].format(secret)
+        text = f"{prose(60)}\n{line}\n{prose(60)}\nthe passphrase comes with {known[i % len(known)]} here"
+        own, found = sec.spans_of(text)
+        base += any(secret in text[s.start : s.end] for s in own)
+        novel += any(s.kind == "novel" and secret in text[s.start : s.end] for s in found)
+        wrong += sum(s.kind == "novel" and secret not in text[s.start : s.end] for s in found)
+    assert base == 0 and novel >= 290 and wrong <= 15

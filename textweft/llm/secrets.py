@@ -167,7 +167,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans)`` of every row of ``docs(doc_id, text, ...)``.
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel)`` of every row of ``docs(doc_id, text, ...)``.
 
     A null text is empty and has no spans. Doc_ids may be null or repeat; there is one row per row. Other columns are ignored.
     """
@@ -181,13 +181,13 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 base, found = spans_of(text.as_py())
                 kinds = [s.kind for s in found]
-                row = (*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found))
+                row = (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), kinds.count("novel"))
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    return own.mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return own.mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_rows(spark):
     rows = [(i, f"http://h/{i}", rng.choice(["same", "other é", f"own {i}", "", None]) ) for i in range(200)]
     rows += [(5, "again", rows[5][2]), (None, "no id", "same"), (None, None, "nobody else"), (None, None, "nobody else"), (900, "long", "x y " * 400_000)]
     pages = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA).repartition(5)
-    assert sorted(map(tuple, warc.round_trip(pages, archive_bytes=4096).collect()), key=repr) == brute(rows)
+    assert sorted(map(tuple, warc.round_trip(pages, archive_bytes=4096).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == brute(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 

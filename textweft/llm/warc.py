@@ -5,7 +5,8 @@ from records of that archive and stored in a skippable frame at its beginning (m
 again are revisit records, which refer to the response record of the smallest page_id.
 
 An archive goes to a file whose name has the task attempt's id, and only archives that a finished attempt has reported are read, so lost
-executors and repeated attempts leave nothing behind that counts. A task holds one archive's records at most.
+executors and repeated attempts leave nothing behind that counts. A task holds one archive's records at most. Archives are written with
+Arrow's file systems: local and shared folders, HDFS, S3, GCS and Azure, by Hadoop's names, too; another scheme is an error.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ READ_TASKS = 20_000
 LEAST_REVISIT = 0
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Hadoop's names of stores that Arrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -83,10 +86,10 @@ _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary of some records, spread evenly over all; its raw content where there are too few to train."""
+    """A dictionary of some whole records, spread evenly over all; their raw content where there are too few to train."""
     total = sum(map(len, records))
     step = max(1, -(-total // TRAINING_BYTES))
-    some = [r[: 64 << 10] for r in records[::step]]
+    some = records[::step]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, some, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -130,9 +133,15 @@ def read(stream: BufferedReader) -> Iterator[Record]:
         yield Record(number("X-Page-ID"), url, head["WARC-Type"], number("X-Refers-To-Page-ID"), size, sha, payload)
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder, and its path there. Names that Hadoop gives to object stores are known."""
+    scheme, mark, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
+
+
 def _writer(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = pafs.FileSystem.from_uri(folder)
+        store, path = _store(folder)
         store.create_dir(path, recursive=True)
         task = TaskContext.get()
         name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -181,11 +190,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` of every record, and ``payload`` if wanted."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, url)`` of every record, and ``payload`` if wanted."""
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = pafs.FileSystem.from_uri(folder)
+        store, path = _store(folder)
         for batch in batches:
             for file in batch["file"].to_pylist():
                 with store.open_input_stream(f"{path}/{file}", compression=None) as stream:
@@ -207,8 +216,8 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
 
 def _batch(records: list[Record], with_payload: bool) -> pa.RecordBatch:
     page, url, kind, refers, size, sha, payload = zip(*records, strict=True)
-    arrays = [pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(kind, pa.string()), pa.array(refers, pa.int64())]
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    arrays = [pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(kind, pa.string()), pa.array(refers, pa.int64()), pa.array(url, pa.string())]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     if with_payload:
         arrays.append(pa.array(payload, pa.binary()))
         names.append("payload")

@@ -21,7 +21,7 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """``(doc_id, label, text)`` of at most ``most`` labelled ids that aren't held out, the first in a random but fixed order.
 
-    Ids whose labels are null or contradict each other aren't used.
+    Ids whose labels are null or contradict each other aren't used. An id has one row: of several texts the first in order.
     """
     one = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = one.groupBy("doc_id").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo = hi")
@@ -29,7 +29,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())])
     few = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in first], schema)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most ``most`` rows of two numbers
+    some = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most ``most`` rows of two numbers
+    return some.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def within(table: DataFrame, size: Column, most: int) -> DataFrame:
+    """The rows of ``table(place, ...)`` in order of ``place``, as far as the sum of ``size`` isn't above ``most``.
+
+    ``table`` has a row for each document of a sample, which has a bound.
+    """
+    used, last = 0, None
+    for r in table.groupBy("place").agg(F.sum(size).alias("n")).orderBy("place").toLocalIterator():
+        used += r["n"]
+        if used > most:
+            break
+        last = r["place"]
+    return table.filter(F.col("place") <= last) if last is not None else table.limit(0)
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], column: str) -> DataFrame:

@@ -13,16 +13,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textweft.llm import labelled
 from textweft.llm import textkernel as tk
+from textweft.plans.tables import written
 
 PASSAGE_WORDS = 64
 HASHED = 32
 #: The score from which a document counts as good.
 THRESHOLD = 0.7
-#: Bounds of the training sample: documents, and passages of each, spread evenly over its whole text.
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 128
+#: Bounds of the training sample: labelled documents, and passages of all of them together. Every document counts whole.
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 400_000
 EPOCHS, BAGS, RATE = 30, 128, 0.01
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b".,;:?'\"()-", b"!", b"\n", b" \t\r"]
@@ -157,24 +159,26 @@ def fit_bags(x: np.ndarray, row: np.ndarray, y: np.ndarray, seed: int = 7) -> Mo
     return Model(mean.astype(np.float32), scale.astype(np.float32), p)
 
 
-def _bags(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in tk.slices(batch["text"]):
-                x, row = passages(texts)
-                cut = np.searchsorted(row, np.arange(len(texts) + 1))
-                picks = [np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(int)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.array([x[i].tobytes() for i in picks], pa.binary())], ["doc_id", "label", "x"])
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, texts in tk.slices(batch["text"]):
+            x, row = passages(texts)
+            cut = np.searchsorted(row, np.arange(len(texts) + 1))
+            part = batch.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> Model:
-    """Learns from at most ``train_docs`` labelled documents that aren't held out, ``train_passages`` passages of each."""
+    """Learns from all passages of at most ``train_docs`` labelled documents that aren't held out.
+
+    Documents that would bring all passages above ``train_passages`` aren't used, the last in a random but fixed order first.
+    """
     tk.small_batches(docs.sparkSession)
     few = labelled.sample(docs, labels, "quality", train_docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = few.mapInArrow(_bags(train_passages), f"doc_id {id_type}, label int, x binary").collect()
+    made = few.mapInArrow(_bags, f"doc_id {id_type}, label int, x binary").withColumn("place", F.xxhash64("doc_id"))
+    table = written(made, "training")
+    rows = list(labelled.within(table, F.octet_length("x") / (4 * WIDTH), train_passages).toLocalIterator())
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32)

@@ -201,15 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     made = few.mapInArrow(_training, f"doc_id {id_type}, label int, id binary, share binary")
     # a scan of all documents finds few rows: in a few files they are read at once
     table = written(made.withColumn("place", F.xxhash64("doc_id")).repartition(16), "training")
-    sizes = table.groupBy("place").agg((F.sum(F.octet_length("id")) / 4).alias("n")).orderBy("place").collect()
-    used, last = 0, None
-    for r in sizes:
-        used += r["n"]
-        if used > train_pairs:
-            break
-        last = r["place"]
     # by partition, of which there are 16 at most, so the JVM holds one at a time
-    rows = table.filter(F.col("place") <= last).toLocalIterator() if last is not None else []
+    rows = labelled.within(table, F.octet_length("id") / 4, train_pairs).toLocalIterator()
     found = [(r["place"], r["doc_id"], bytes(r["id"]), r["label"], np.frombuffer(r["share"], np.float32)) for r in rows]
     found.sort(key=lambda x: x[:3])
     return fit_pairs([(np.frombuffer(x[2], np.int32), x[4]) for x in found], np.array([x[3] for x in found], np.float32))

@@ -69,3 +69,21 @@ def test_run_is_its_stages(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, at).collect(), stage(spark, docs, at).schema)
     assert sorted(map(tuple, corpus_pipeline.run(spark, at).collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_empty_tables_and_clashing_names(spark, tables, tmp_path):
+    at, rows, _ = tables
+    schema = f"{DOCS}, copies string, score string, budget int"
+    for name, some in (("none", []), ("few", [(*r, "c", "s", 1) for r in rows[1:4]])):
+        docs = spark.createDataFrame(some, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, at)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        mixed = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+        assert mixed.columns == [*docs.columns, "_copies"]
+        kept = mixed.collect()
+        assert {r.copies for r in kept} <= {"c"} and len(kept) <= len(some), name
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

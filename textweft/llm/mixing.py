@@ -102,6 +102,8 @@ def cuts(tokens: DataFrame, mix: Mix) -> DataFrame:
         running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("range")))
         end = written(running.filter("upto > rest and upto - n <= rest").select(*LEAF, "range", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), "range")
         left = left.drop("rest").withColumn("range", F.shiftright("h", shift)).join(end, [*LEAF, "range"]).drop("range")
+    # rows of one position, as those without a doc_id, are one
+    left = left.groupBy(*LEAF, "h").agg(F.sum("n_tokens").alias("n_tokens"), F.min("rest").alias("rest"))
     tail = left.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("h")))
     # the range begins where the ones before it end, so all that is taken has a position below it or up to this
     last = tail.groupBy(*LEAF).agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("h"))).alias("last"), F.min("h").alias("first"))
@@ -121,11 +123,13 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The chosen rows of ``docs`` with their own columns and ``copies``, which no column of ``docs`` may be called."""
-    own = docs.columns
+    """The chosen rows of ``docs`` with their own columns and ``copies``, with underscores before it if a column has that name."""
+    own, copies = docs.columns, "copies"
+    while copies in own:
+        copies = f"_{copies}"
     tokens = with_leaf(docs.select("doc_id", "text", "lang", "source"), mix).select("doc_id", *LEAF, "n_tokens")
     whole = with_leaf(docs.select(F.struct(*own).alias("_row"), "doc_id", "text", "lang", "source"), mix).drop("text", "lang", "source")
-    return _chosen(whole, cuts(written(tokens, "tokens"), mix), mix).select(*(F.col("_row")[c].alias(c) for c in own), "copies")
+    return _chosen(whole, cuts(written(tokens, "tokens"), mix), mix).select(*(F.col("_row")[c].alias(c) for c in own), F.col("copies").alias(copies))
 
 
 def _chosen(rows: DataFrame, leaf: DataFrame, mix: Mix) -> DataFrame:

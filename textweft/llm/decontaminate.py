@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweft.llm import textkernel as tk
-from textweft.llm.filters import bit_table, member
+from textweft.llm.filters import member
 from textweft.plans.tables import new_path, written
 
 THRESHOLD = 0.8
@@ -43,8 +43,8 @@ RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
 #: Bytes of benchmark texts that one pass over the regions takes along.
 BENCHMARK_BYTES = 16 << 20
-#: Items that one index holds, and bits of a table of shingles at most, as a power of two.
-INDEX_ITEMS, TABLE_BITS = 512, 26
+#: Items that one index holds, and bits of a table of shingles, as powers of two.
+INDEX_ITEMS, LEAST_BITS, TABLE_BITS = 512, 20, 24
 
 
 class Items(NamedTuple):
@@ -120,12 +120,18 @@ class MultiIndex:
 
 
 class Table(NamedTuple):
-    """Bits of the shingles of ``n`` words that items of at most ``longest`` words have."""
+    """Bits of the shingles of ``n`` words that items of at most ``longest`` words have, by the low and by the high bits of the key."""
 
     n: int
     longest: int
     width: int
-    bits: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys that may be in the table: of all others one in some thousands or, in a full table, hundreds."""
+        maybe = np.flatnonzero(member(self.low, keys & ((1 << self.width) - 1)))
+        return maybe[member(self.high, keys[maybe] >> (48 - self.width))]
 
 
 def _item_keys(k: int):
@@ -146,8 +152,21 @@ def _item_keys(k: int):
 def shingle_tables(items: DataFrame, k: int = tk.SHINGLE) -> list[Table]:
     """Tables for a pass over the texts, of all of ``items(text)``: one for each size of items, by powers of two."""
     keys = written(items.select("text").mapInArrow(_item_keys(k), "n int, grade int, key long").distinct(), "item-keys")
-    kinds = sorted((r["n"], r["grade"]) for r in keys.select("n", "grade").distinct().collect())  # k + 30 at most
-    return [Table(n, 1 << g, *bit_table(keys.filter((F.col("n") == n) & (F.col("grade") == g)), "key", TABLE_BITS, hashed=True)) for n, g in kinds]
+    kinds = {(r["n"], r["grade"]): r["keys"] for r in keys.groupBy("n", "grade").agg(F.count("*").alias("keys")).collect()}  # k + 30 at most
+    tables = {(n, g): Table(n, 1 << g, w := max(LEAST_BITS, min(TABLE_BITS, (64 * c).bit_length())), *np.zeros((2, 1 << (w - 6)), np.int64)) for (n, g), c in kinds.items()}
+    width = " ".join(f"when n = {n} and grade = {g} then {t.width}" for (n, g), t in tables.items())
+    if not tables:
+        return []
+    wide = keys.withColumn("w", F.expr(f"case {width} end"))
+    place = wide.select("n", "grade", F.explode(F.array(F.expr("key & (shiftleft(1L, w) - 1)"), F.expr("shiftright(key, 48 - w) | shiftleft(1L, w)"))).alias("place"), "w")
+    place = place.select("n", "grade", F.expr("shiftright(place, w)").alias("half"), F.expr("shiftright(place & (shiftleft(1L, w) - 1), 6)").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    found = place.groupBy("n", "grade", "half", "word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 << (TABLE_BITS - 6) for each kind at most
+    kind = np.stack([found[c].to_numpy() for c in ("n", "grade", "half")]) if found.num_rows else np.zeros((3, 0))
+    for (n, g), t in tables.items():
+        for half, bits in enumerate((t.low, t.high)):
+            own = np.flatnonzero((kind[0] == n) & (kind[1] == g) & (kind[2] == half))
+            bits[found["word"].to_numpy()[own]] = found["bits"].to_numpy()[own]
+    return [t._replace(low=t.low.view(np.uint8), high=t.high.view(np.uint8)) for _, t in sorted(tables.items())]
 
 
 def _hits(w: tk.Words, tables: list[Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +177,7 @@ def _hits(w: tk.Words, tables: list[Table]) -> tuple[np.ndarray, np.ndarray, np.
         h = (h >> tk.U(16)).view(np.int64)
         for t in tables:
             if t.n == n:
-                hit = at[member(t.bits, h & ((1 << t.width) - 1))]
+                hit = at[t.has(h)]
                 at_all.append(hit)
                 n_all.append(np.full(len(hit), n))
                 long_all.append(np.full(len(hit), t.longest))

@@ -11,8 +11,8 @@ with a probability equal to their similarity.
 
 *Candidates.* Texts of equal word sequences are one representative. Representatives that agree in all rows of a band meet.
 
-*Verification.* No group is expanded into pairs. In each band group every member is verified against one hub, its smallest id;
-linked members become one class. What is left are members of a group whose classes differ. Of them
+*Verification.* No group is expanded into pairs. In each band group every member is verified against one hub, the member that
+meets most others over all its bands; linked members become one class. What is left are members of a group whose classes differ. Of them
 a pair is verified unless one of two bounds proves that it can't reach the threshold. ``1 - similarity`` is a metric, so
 ``|d(x, hub) - d(y, hub)| <= 1 - threshold`` must hold; a document of several texts has no one distance and is not bound by it. And every bit that a bitmap of x's shingles has and y's has not stands for a
 shingle that only x has; such shingles' share of x's weight is at most ``1 - similarity``, and among sets without repeats they bound
@@ -209,11 +209,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     ids = written(reps.groupBy("rep").agg((F.count("*") > 1).alias("several"), F.any_value("bands").alias("own")), "ids")
     many = reps.join(ids.filter("several"), "rep", "left_semi")
     members = ids.filter("not several").select("rep", F.explode("own").alias("band")).union(many.select("rep", F.explode("bands").alias("band")).distinct())
-    # one hub for a group; the smallest id of near texts is the same in most bands
-    groups = members.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").select("band", "hub")
+    groups = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(members.join(written(groups, "groups"), "band"), "met")
+    # the member that meets most others is the hub of nearly all its groups, so a group around one text has few pairs to verify
+    popular = written(met.groupBy("rep").agg(F.sum("n").alias("met")), "popular")
+    hubs = met.join(popular, "rep").groupBy("band").agg(F.max(F.struct("met", "rep"))["rep"].alias("hub"))
+    met = written(met.join(written(hubs, "hubs"), "band").select("band", "rep", "hub"), "met-hub")
     # the filter keeps most sets from being made, and out of the join's exchange
-    wanted = written(met.select("rep").distinct(), "wanted")
+    wanted = popular.select("rep")
     width, table = bit_table(wanted, "rep")
     some = own.filter("doc_id is not null").withColumn("place", place_of(F.col("doc_id"), width))
     some = some.mapInArrow(_sets(k, table), f"id {id_type}, el binary, wt binary, n long, total long, bits array<long>").join(wanted, F.col("id") == F.col("rep"), "left_semi")

@@ -121,3 +121,15 @@ def test_ignore_rules(spark):
     assert values(ignore.positions_of(ranges)) == [(0, 2), (0, 3), (0, 6)]
     odd = spark.createDataFrame([(0, 1, 0), (0, 2, 2), (0, 0, 2), (0, 1, 3)], "file_id int, start int, end int")
     assert values(ignore.positions_of(odd)) == [(0, 0), (0, 1), (0, 2)]
+
+
+def test_sources_that_cannot_be_parsed_have_no_fingerprints():
+    import pyarrow as pa
+
+    from textweft.operators.winnowing import tree_prints
+
+    good = "def f(x):\n    return [x, x + 1, f(x)]\n" * 3
+    texts = pa.array(["def (", good, "(" * 3000 + ")" * 3000, "x = \0", ""])
+    prints = tree_prints(texts, "python", False, 5, 3)
+    alone = tree_prints(pa.array([good]), "python", False, 5, 3)
+    assert set(prints.owner.tolist()) == {1} and prints.h.tolist() == alone.h.tolist() and len(alone.h) > 5

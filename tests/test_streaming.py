@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from textweft.api import Engine
 from textweft.config import EngineConfig
 from textweft.streaming.incremental import FingerprintStore
@@ -23,3 +25,9 @@ def test_a_stream_gives_the_pairs_of_one_run(spark, tmp_path):
     # a batch that runs again replaces itself
     store.add(spark.createDataFrame([(i, texts[i]) for i in range(8, 12)], "file_id bigint, content string"), 2)
     assert sorted(map(tuple, store.pairs().collect())) == want
+
+
+def test_a_store_refuses_caps_and_templates(spark, tmp_path):
+    for config in (EngineConfig(max_fingerprint_count=3), EngineConfig(max_fingerprint_percentage=0.5), EngineConfig(template=("x.txt",))):
+        with pytest.raises(ValueError, match="store"):
+            FingerprintStore(spark, str(tmp_path), config)

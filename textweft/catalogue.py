@@ -15,7 +15,7 @@ from textweft.api import analyze
 from textweft.config import FragmentOrder, PairOrder
 from textweft.functions.hashing import token_hash_column
 from textweft.operators import ignore, matching, ordering
-from textweft.operators.winnowing import fingerprints, fingerprints_sql
+from textweft.operators.winnowing import char_counts, fingerprints, fingerprints_sql, kgram_sums
 from textweft.plans.tables import written
 from textweft.sources.sinks import summary_column
 
@@ -67,8 +67,7 @@ def _uncapped(files: DataFrame, prints: DataFrame, run: int = RUN) -> DataFrame:
 
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters and lines of every document that the character tokenizer gives tokens for."""
-    prints = fingerprints(_files(spark, sf_dir), 1, 0)
-    return prints.groupBy("file_id").agg(F.count("*").alias("tokens"), F.countDistinct("start_row").alias("lines"), F.max("end_col").cast("bigint").alias("widest"))
+    return char_counts(_files(spark, sf_dir))
 
 
 def token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kgram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and sum of all k-gram hashes of every document."""
-    return fingerprints(_files(spark, sf_dir), K, 0).groupBy("file_id").agg(F.count("*").alias("kgrams"), F.sum("h").alias("sum_h"))
+    return kgram_sums(_files(spark, sf_dir), K)
 
 
 def winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +140,12 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(_files(spark, sf_dir))
 
 
+def pair_metrics_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents by all fingerprints, however many documents share them: what no setting gives."""
+    files = _files(spark, sf_dir)
+    return _uncapped(files, _prints(files))
+
+
 def pair_metrics_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of benchmark items, with or without a match, and no cap."""
     return _pairs(_files(spark, sf_dir, "benchmark", "item_id"), all_pairs=True, cap=None)
@@ -257,7 +262,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         char_tokens, token_hash, kgram_hash, winnow_fingerprints, winnow_window_functions, kgram_regions, doc_frequency, df_cap_ignored, template_ignored, ignored_ranges,
-        range_positions, maximal_matches, matches_no_contained, pair_metrics, pair_metrics_full, conversation_pairs, order_sequences, user_sequences, pairs_by_similarity,
+        range_positions, maximal_matches, matches_no_contained, pair_metrics, pair_metrics_uncapped, pair_metrics_full, conversation_pairs, order_sequences, user_sequences, pairs_by_similarity,
         pairs_by_total_overlap, pairs_by_longest_fragment, pairs_by_file_id, fragments, fragment_order, replay_pairs, summary_lines, language_detection, k10, w5,
         min_length_10, page_trees,
     )
@@ -318,6 +323,7 @@ ORACLE_SQL: dict[str, str] = {
     "maximal_matches": _with(*_compared_sql(), select="SELECT left_id, right_id, left_start, right_start, length FROM mt"),
     "matches_no_contained": _with(*_compared_sql(), _CONTAINED, select="SELECT left_id, right_id, left_start, right_start, length FROM mc"),
     "pair_metrics": _pairs_sql(),
+    "pair_metrics_uncapped": _pairs_sql(cap=None),
     "pair_metrics_full": _pairs_sql(BENCHMARK, True, cap=None),
     "conversation_pairs": _pairs_sql(TALKS, k=10, w=5),
     "order_sequences": _sequence_sql("SELECT l_orderkey AS file_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::BIGINT AS idx, l_partkey AS h FROM lineitem", 2),

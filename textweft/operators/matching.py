@@ -7,7 +7,7 @@ very many sequences share has many hits; adaptive execution splits such a key ov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textweft.plans.tables import written
@@ -49,10 +49,7 @@ def _runs(hits: DataFrame, min_length: int) -> DataFrame:
 
 
 def without_contained(found: DataFrame) -> DataFrame:
-    """Matches that lie in no other match on both sides.
-
-    Of a pair's matches in order of left start, longer first, one can only lie in an earlier one; both ends are compared.
-    """
+    """Matches that lie in no other match on both sides; each is compared with all others of its pair."""
     a, b = found.alias("a"), found.alias("b")
     inside = (
         (F.col("a.left_id") == F.col("b.left_id")) & (F.col("a.right_id") == F.col("b.right_id"))
@@ -63,25 +60,28 @@ def without_contained(found: DataFrame) -> DataFrame:
     return a.join(b, inside, "left_anti")
 
 
-def _covered(found: DataFrame, start: str, name: str) -> DataFrame:
-    """Positions that the union of ranges covers, by pair: each range adds what lies beyond all before it."""
-    before = Window.partitionBy(*KEY).orderBy(start, "length").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col(start) + F.col("length")
-    reach = F.coalesce(F.max(end).over(before), F.lit(0))
-    return found.withColumn("fresh", F.greatest(F.lit(0), end - F.greatest(F.col(start), reach))).groupBy(*KEY).agg(F.sum("fresh").alias(name), F.max("length").cast("bigint").alias("longest_fragment"), F.sum("length").alias("fragment_total"))
-
-
 def totals(files: DataFrame, live: DataFrame) -> DataFrame:
     """``(file_id, total)``: live positions of each file, 0 for files without any."""
     counts = live.groupBy("file_id").agg(F.count("*").alias("total"))
     return files.select("file_id").join(counts, "file_id", "left").select("file_id", F.coalesce("total", F.lit(0)).alias("total"))
 
 
+def _fresh(start: str) -> Column:
+    """Positions of a match that no match before it covers, in order of ``start``."""
+    before = Window.partitionBy(*KEY).orderBy(start, "length").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col(start) + F.col("length")
+    return F.greatest(F.lit(0), end - F.greatest(F.col(start), F.coalesce(F.max(end).over(before), F.lit(0))))
+
+
 def overlaps(found: DataFrame) -> DataFrame:
-    """``(left_id, right_id, overlap_left, overlap_right, longest_fragment, fragment_total)`` of pairs with a match."""
-    left = _covered(found, "left_start", "overlap_left")
-    right = _covered(found, "right_start", "overlap_right").select(*KEY, "overlap_right")
-    return left.join(right, KEY)
+    """``(left_id, right_id, overlap_left, overlap_right, longest_fragment, fragment_total)`` of pairs with a match.
+
+    Both running maxima and the sums are over the same key, so they share one exchange.
+    """
+    fresh = found.withColumn("fresh_left", _fresh("left_start")).withColumn("fresh_right", _fresh("right_start"))
+    return fresh.groupBy(*KEY).agg(
+        F.sum("fresh_left").alias("overlap_left"), F.sum("fresh_right").alias("overlap_right"), F.max("length").cast("bigint").alias("longest_fragment"), F.sum("length").alias("fragment_total")
+    )
 
 
 def copies(live: DataFrame) -> DataFrame:

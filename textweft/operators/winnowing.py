@@ -105,10 +105,15 @@ def char_prints(texts: pa.Array, k: int, w: int) -> Prints:
 
 
 def tree_prints(texts: pa.Array, language: str, include_comments: bool, k: int, w: int) -> Prints:
+    """Fingerprints of syntax trees. A text that can't be parsed, or is nested too deep for the parser, has none."""
     known: dict[str, int] = {}
     hashes, owner, regions = [], [], ([], [], [], [])
     for i, text in enumerate(texts.to_pylist()):
-        for token in tokens_of(text, language, include_comments):
+        try:
+            tokens = tokens_of(text, language, include_comments)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            continue
+        for token in tokens:
             if token.name not in known:
                 known[token.name] = token_hash(token.name)
             hashes.append(known[token.name])
@@ -140,6 +145,45 @@ def fingerprints(files: DataFrame, k: int, w: int, language: str = "char", inclu
     return own.mapInArrow(run, f"file_id {id_type}, idx int, p int, h bigint, start_row int, start_col int, end_row int, end_col int")
 
 
+def char_counts(files: DataFrame) -> DataFrame:
+    """``(file_id, tokens, lines, widest)`` of each file that has a token: its characters, the lines they are in, and the widest line's bytes."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    id_type = files.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in _slices(batch["content"]):
+                t = char_tokens(*_bytes_of(texts))
+                n = np.bincount(t.owner, minlength=len(texts))
+                # a file's tokens are in order of their rows
+                new = np.concatenate([[True], (t.owner[1:] != t.owner[:-1]) | (t.row[1:] != t.row[:-1])])[: len(t.owner)]
+                widest = np.zeros(len(texts), np.int64)
+                np.maximum.at(widest, t.owner, t.col + t.size)
+                some = np.flatnonzero(n)
+                counts = [n[some], np.bincount(t.owner[new], minlength=len(texts))[some], widest[some]]
+                yield pa.RecordBatch.from_arrays([batch["file_id"].take(pa.array(some + at)), *(pa.array(c.astype(np.int64)) for c in counts)], ["file_id", "tokens", "lines", "widest"])
+
+    return files.select("file_id", "content").mapInArrow(run, f"file_id {id_type}, tokens bigint, lines bigint, widest bigint")
+
+
+def kgram_sums(files: DataFrame, k: int) -> DataFrame:
+    """``(file_id, kgrams, sum_h)`` of each file that has a k-gram: the number and sum of its k-gram hashes."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    id_type = files.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in _slices(batch["content"]):
+                prints = char_prints(texts, k, 0)
+                n = np.bincount(prints.owner, minlength=len(texts))
+                total = np.zeros(len(texts), np.int64)
+                np.add.at(total, prints.owner, prints.h)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([batch["file_id"].take(pa.array(some + at)), pa.array(n[some].astype(np.int64)), pa.array(total[some])], ["file_id", "kgrams", "sum_h"])
+
+    return files.select("file_id", "content").mapInArrow(run, f"file_id {id_type}, kgrams bigint, sum_h bigint")
+
+
 def kgrams_sql(tokens: DataFrame, k: int) -> DataFrame:
     """``(file_id, p, h)`` of every full k-gram of ``tokens(file_id, pos, th)``, by window functions."""
     order = Window.partitionBy("file_id").orderBy("pos")

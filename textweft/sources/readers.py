@@ -78,6 +78,10 @@ def _relative(files: DataFrame, base: str) -> DataFrame:
     return files.select(path.alias("path"), "bytes")
 
 
+def _hadoop_name(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:/") else path
+
+
 def is_archive(path: str) -> bool:
     return path.lower().endswith(ARCHIVES)
 
@@ -171,9 +175,9 @@ def resolve(spark: SparkSession, paths: list[str], single_file: bool = False) ->
         if not _kind(spark, p).file:
             raise FileNotFoundError(f"'{p}' is not a file")
     names = [PurePosixPath(p).name for p in paths]
-    files = spark.createDataFrame([], "path string, bytes binary")
-    for p in dict.fromkeys(paths):
-        files = files.union(_binary(spark, p).select(F.lit(p).alias("path"), "bytes"))
+    given = {_hadoop_name(_absolute(spark, p)): p for p in paths}
+    known = spark.createDataFrame(list(given.items()), "uri string, path string")
+    files = _binary(spark, *given.values()).withColumn("uri", F.regexp_replace("uri", "^file:/+", "/")).join(known, "uri").select("path", "bytes")
     return Resolved(files, "-".join(names) if len(names) == 2 else f"{len(names)} files")
 
 

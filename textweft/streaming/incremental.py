@@ -23,6 +23,9 @@ class FingerprintStore:
     """Fingerprints, files and pairs below ``path``; ids of files must be new in every batch."""
 
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), language: str = "char") -> None:
+        if config.template or config.max_fingerprint_count is not None or config.max_fingerprint_percentage is not None:
+            # what they leave out changes with every file that comes
+            raise ValueError("a store takes no template and no cap on the files that share a fingerprint")
         self.spark, self.path, self.config, self.language = spark, path.rstrip("/"), config, language
 
     def _read(self, name: str, schema: str, before: int | None = None) -> DataFrame:

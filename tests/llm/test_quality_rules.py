@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from textweft.llm import quality_rules as qr
 
@@ -56,3 +57,12 @@ def test_plan_is_native_and_one_projection_deep(spark):
     plan = qr.rules(spark.createDataFrame([], SCHEMA))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Exchange" not in text and plan.count() == 0
+
+
+def test_time_is_in_proportion_to_the_words_of_a_text(spark):
+    words = [f"w{i * 7919 % 100003}" for i in range(40000)]
+    text = " ".join(words + words[100:150])
+    start = time.monotonic()
+    got = qr.rules(spark.createDataFrame([(1, text, None, None, None)], SCHEMA)).collect()[0]
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == brute(text)
+    assert got.n_repeat_words == 100 and time.monotonic() - start < 30

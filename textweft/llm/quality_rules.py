@@ -52,9 +52,13 @@ def counts(docs: DataFrame) -> DataFrame:
     """
     step = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     step = step.withColumn("_w", F.filter(F.split("_t", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    # a word is hashed once, a window by the hashes of its words
-    step = step.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_x", i, WINDOW)))
+    # a word is hashed once, a window by the hashes of its words; these are bound by a lambda, as a column used once is put into the
+    # function over windows by the optimizer and made again for each of them
+
+    def windows(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*(F.get(x, i + k) for k in range(WINDOW))))
+
+    hashes = F.get(F.transform(F.array(F.transform("_w", lambda w: F.xxhash64(w))), windows), F.lit(0))
     step = step.withColumn("_h", F.when(F.size("_w") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
     pairs = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     step = step.withColumn("_p", F.when(F.size("_h") > F.size(F.array_distinct("_h")), pairs))
@@ -85,7 +89,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "n_bullet_lines": lines("^[\\x20\\x09]*[-*•]"),
         "n_ellipsis_lines": lines("([.][.][.]|…)[\\x20\\x09-\\x0D]*$"),
     }
-    return step.withColumn("_m", F.struct(*(v.alias(k) for k, v in fields.items()))).drop("_t", "_w", "_x", "_h", "_p", "_at", "_l")
+    return step.withColumn("_m", F.struct(*(v.alias(k) for k, v in fields.items()))).drop("_t", "_w", "_h", "_p", "_at", "_l")
 
 
 #: Each measure is one of these counts over another.

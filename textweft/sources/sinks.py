@@ -66,9 +66,25 @@ def write_csv(report: Report, directory: str | None = None, single: bool = True)
     return where
 
 
+def _hundredths(x: F.Column) -> F.Column:
+    """``x``, 0 to 100, in hundredths: the double's own value is rounded as C does, a tie to the even one, and not its shortest decimals.
+
+    200 * x is compared with odd numbers in two parts, both of which are exact.
+    """
+    high = F.floor(x * 2**20) / F.lit(float(2**20))
+    a, b = high * 200, (x - high) * 200
+    k = F.floor((a + 1) / 2)
+    gap = (2 * k + 1).cast("double") - a
+    odd = F.pmod(k, F.lit(2)) == 1
+    up = (b > gap) | ((b == gap) & odd)
+    down = (a == 2 * k - 1) & (b == 0) & odd
+    return F.when(up, k + 1).when(down, k - 1).otherwise(k)
+
+
 def summary_column() -> F.Column:
     """One line of text per pair; needs ``left_path`` and ``right_path``."""
-    return F.format_string("%s - %s (sim: %.2f%%, longest: %d, left: %d/%d, right: %d/%d)", "left_path", "right_path", F.bround(F.col("similarity") * 100, 2), "longest_fragment", "overlap_left", "total_left", "overlap_right", "total_right")
+    n = _hundredths(F.col("similarity") * 100)
+    return F.format_string("%s - %s (sim: %d.%02d%%, longest: %d, left: %d/%d, right: %d/%d)", "left_path", "right_path", F.floor(n / 100), F.pmod(n, F.lit(100)), "longest_fragment", "overlap_left", "total_left", "overlap_right", "total_right")
 
 
 def summary(report: Report) -> DataFrame:
